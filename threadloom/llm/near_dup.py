@@ -103,19 +103,17 @@ def sketch_of(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64).reshape(-1)
 
 
-class _Words:
+class _Words(dict):
     """Hashes of words, kept per task."""
 
-    def __init__(self) -> None:
-        self.store: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
     def __call__(self, words: set[str]) -> np.ndarray:
-        store = self.store
-        for w in words - store.keys():
-            store[w] = xxhash.xxh3_64_intdigest(w)
-        out = np.sort(np.fromiter(map(store.__getitem__, words), np.uint64, len(words)))
-        if len(store) > 500_000:  # memory only
-            store.clear()
+        out = np.sort(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+        if len(self) > 500_000:  # memory only
+            self.clear()
         return out
 
 
