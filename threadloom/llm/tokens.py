@@ -126,7 +126,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [(self.ascii if t.isascii() else self.any).findall(t) if t else [] for t in texts]
-        new = list(set().union(*words) - self.store.keys()) if words else []
+        new = [w for w in set().union(*words) if w not in self.store]
         if len(self.store) + len(new) > STORE_WORDS:
             self.store = {}
             new = list(set().union(*words))
