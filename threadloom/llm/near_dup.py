@@ -3,7 +3,7 @@
 One pass over the texts gives, per record, a digest of its word set; and per different word set met in
 a task, its words, its SuperMinHash bands and a short sketch. Copies of one word set are one class from
 there on, so a text that a third of all records share adds one row a task. Band rows meet by an
-equi-join on the band's hash; a sketch of 64 bits in the row discards chance meetings before they are
+equi-join on the band's hash; a sketch of 128 bits in the row discards chance meetings before they are
 written; the remaining pairs are verified exactly on their words.
 
 SuperMinHash: every word has a pseudo-random permutation of the signature's places; in round j it
@@ -11,7 +11,7 @@ offers j + r at its j-th place. The rounds run over all words of a batch togethe
 as soon as no later round can lower any place (early stopping), after some twenty rounds of 180.
 
 With 36 bands of 5 places a pair of similarity 0.65 is met with probability 0.988, of 0.70 with 0.999,
-of 0.75 with 0.9998; the sketch (at most 20 of 64 bits apart) keeps 0.998 of pairs at 0.65.
+of 0.75 with 0.9998; the sketch (at most 36 of 128 bits apart) keeps 0.999 of pairs at 0.65.
 
 Defined results: null, empty and short texts (fewer than `least_words` different words) have no
 partner. Rows that repeat an id count once (same id and word set). Order and repetition of words do not
@@ -35,7 +35,7 @@ from threadloom.common import stage
 SIMILARITY, LEAST_WORDS = 0.65, 40
 BANDS, ROWS = 36, 5
 PLACES = BANDS * ROWS
-SKETCH_BITS, SKETCH_APART = 64, 20
+SKETCH_BITS, SKETCH_APART = 128, 36
 #: Bytes kept of each word's hash for verification: two words of one pair collide with odds of 1 in 10^8.
 WORD_BYTES = 5
 
@@ -98,9 +98,9 @@ def bands_of(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketch_of(sig: np.ndarray) -> np.ndarray:
-    """int64[n]: one bit of each of the first 64 places."""
+    """int64[n, 2]: one bit of each of the first 128 places."""
     bits = (_mix(sig[:, :SKETCH_BITS].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64).reshape(-1)
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 class _Words(dict):
@@ -117,7 +117,7 @@ class _Words(dict):
         return out
 
 
-_OUT = "fp long, words binary, bands array<long>, sketch long"
+_OUT = "fp long, words binary, bands array<long>, sketch long, sketch2 long"
 
 
 def features(df: DataFrame, id_col: str, body_col: str, least_words: int = LEAST_WORDS, group_col: str | None = None) -> DataFrame:
@@ -148,7 +148,7 @@ def features(df: DataFrame, id_col: str, body_col: str, least_words: int = LEAST
                     fps.append(digest)
                     first.append(new)
                 fp = np.frombuffer(b"".join(fps), np.int64)
-                bands, sketch = np.empty((0, BANDS), np.int64), np.empty(0, np.int64)
+                bands, sketch = np.empty((0, BANDS), np.int64), np.zeros((1, 2), np.int64)
                 if sets:
                     sig = signatures(np.concatenate([h for h, _ in sets]), np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets]), len(sets))
                     bands, sketch = bands_of(sig), sketch_of(sig)
@@ -162,8 +162,8 @@ def features(df: DataFrame, id_col: str, body_col: str, least_words: int = LEAST
                 offsets = pa.array(np.concatenate([[0], np.cumsum(band_sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).take(pa.array(rows, pa.int32())) for c in range(batch.num_columns - 1)]
-                    + [pa.array(fp), pa.array([next(packed) if f else None for f in first], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1))), pa.array(np.where(first, sketch[at] if len(sketch) else 0, 0))],
-                    names=[id_col, *group, "fp", "words", "bands", "sketch"],
+                    + [pa.array(fp), pa.array([next(packed) if f else None for f in first], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1))), *(pa.array(sketch[np.maximum(at, 0), k]) for k in (0, 1))],
+                    names=[id_col, *group, "fp", "words", "bands", "sketch", "sketch2"],
                 )
 
     kept = df.select(id_col, *group, F.col(body_col).cast("string").alias("_body"))
@@ -194,11 +194,11 @@ def overlap_at_least(similarity: float):
 
 def class_links(feat: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(fp_a, fp_b), fp_a < fp_b: all links between different word sets; feat is a staged table of features()."""
-    rows = feat.where("words is not null").select("fp", "sketch", F.explode("bands").alias("band"))
+    rows = feat.where("words is not null").select("fp", "sketch", "sketch2", F.explode("bands").alias("band"))
     rows = rows.repartition(F.col("band")).dropDuplicates(["band", "fp"])
-    a = rows.select("band", F.col("fp").alias("fp_a"), F.col("sketch").alias("sketch_a"))
-    b = rows.select("band", F.col("fp").alias("fp_b"), F.col("sketch").alias("sketch_b"))
-    met = a.join(b, "band").where("fp_a < fp_b").where(F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= SKETCH_APART)
+    a = rows.select("band", F.col("fp").alias("fp_a"), F.col("sketch").alias("sketch_a"), F.col("sketch2").alias("sketch2_a"))
+    b = rows.select("band", F.col("fp").alias("fp_b"), F.col("sketch").alias("sketch_b"), F.col("sketch2").alias("sketch2_b"))
+    met = a.join(b, "band").where("fp_a < fp_b").where(F.expr("bit_count(sketch_a ^ sketch_b) + bit_count(sketch2_a ^ sketch2_b)") <= SKETCH_APART)
     met = met.select("fp_a", "fp_b").distinct()
     words = feat.where("words is not null").select("fp", "words").dropDuplicates(["fp"])
     met = met.join(words.select(F.col("fp").alias("fp_a"), F.col("words").alias("words_a")), "fp_a")
