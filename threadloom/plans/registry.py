@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from threadloom.operators import tree_aggregate
+
+_MODULES = [tree_aggregate]
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
