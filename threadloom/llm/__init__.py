@@ -5,11 +5,13 @@ Nothing outside this subpackage imports it; its queries and their SQL are collec
 
 from __future__ import annotations
 
-from threadloom.llm import near_dup, packing, tokens, unicode_forms
+from threadloom.llm import near_dup, packing, pii, tokens, unicode_forms
 
 QUERIES = {
     "p4_found": near_dup.p4_found,
     "p4_groups": near_dup.p4_groups,
+    "p5_found": pii.p5_found,
+    "p5_redacted": pii.p5_redacted,
     "p6_ids": tokens.p6_ids,
     "p7_containers": packing.p7_containers,
     "p8_found": unicode_forms.p8_found,
