@@ -5,12 +5,15 @@ Nothing outside this subpackage imports it; its queries and their SQL are collec
 
 from __future__ import annotations
 
-from threadloom.llm import abuse, near_dup, packing, pii, tokens, unicode_forms
+from threadloom.llm import abuse, linkage, near_dup, packing, pii, tokens, unicode_forms
 
 QUERIES = {
     "p2_found": abuse.p2_found,
     "p2_scores": abuse.p2_scores,
     "p2_rates": abuse.p2_rates,
+    "p3_found": linkage.p3_found,
+    "p3_links": linkage.p3_links,
+    "p3_clusters": linkage.p3_clusters,
     "p4_found": near_dup.p4_found,
     "p4_groups": near_dup.p4_groups,
     "p5_found": pii.p5_found,
