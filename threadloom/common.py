@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,7 +29,17 @@ def work_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{work_root(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
+    return f"{staged_root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def staged_root(spark: SparkSession) -> str:
+    """The folder of all staged tables of this application."""
+    return f"{work_root(spark)}/threadloom/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all staged tables of this application; for its end, when no result is read any more."""
+    drop_staged(spark, staged_root(spark))
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -52,10 +62,9 @@ def drop_staged(spark: SparkSession, *paths: str) -> None:
         hp.getFileSystem(conf).delete(hp, True)
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Repartition round-robin only where the input has fewer partitions than cores."""
-    least = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+def utc(column: str | Column) -> Column:
+    """A time of either timestamp type as a timestamp without zone, in UTC."""
+    return F.col(column).cast("timestamp_ntz") if isinstance(column, str) else column.cast("timestamp_ntz")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -64,7 +73,5 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     A window with row_number = 1 plans as WindowGroupLimit: rows beyond the first are dropped
     before the shuffle.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
