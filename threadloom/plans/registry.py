@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from threadloom.operators import tree_aggregate
+from threadloom.plans import activity, writing
 
-_MODULES = [tree_aggregate]
+_MODULES = [tree_aggregate, activity, writing]
 
 QUERIES: dict = {}
 SQL: dict = {}

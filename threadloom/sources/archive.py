@@ -14,18 +14,18 @@ from pyspark.sql import types as T
 
 from threadloom.common import table
 
-SITES = T.StructType().add("site_id", "int", False).add("name", "string", False).add("url", "string", False)
-BOARDS = T.StructType().add("board_id", "int", False).add("name", "string").add("pathpart", "string", False).add("site_id", "int", False)
-THREADS = T.StructType().add("thread_id", "long", False).add("board_thread_id", "long", False).add("creation_time", "timestamp", False).add("board_id", "int", False)
+SITES = T.StructType().add("site_id", "integer", False).add("name", "string", False).add("url", "string", False)
+BOARDS = T.StructType().add("board_id", "integer", False).add("name", "string").add("pathpart", "string", False).add("site_id", "integer", False)
+THREADS = T.StructType().add("thread_id", "long", False).add("board_thread_id", "long", False).add("creation_time", "timestamp", False).add("board_id", "integer", False)
 POSTS = (
     T.StructType().add("post_id", "long", False).add("board_post_id", "long", False).add("creation_time", "timestamp", False).add("body", "string").add("subject", "string")
-    .add("name", "string").add("email", "string").add("thread_id", "long", False).add("embed", "string").add("local_idx", "int", False)
+    .add("name", "string").add("email", "string").add("thread_id", "long", False).add("embed", "string").add("local_idx", "integer", False)
 )
-DIMENSION = T.StructType().add("width", "int").add("height", "int")
+DIMENSION = T.StructType().add("width", "integer").add("height", "integer")
 ATTACHMENTS = (
     T.StructType().add("attachment_id", "long", False).add("mimetype", "string", False).add("creation_time", "timestamp", False).add("sha256_hash", "string", False)
     .add("phash", "long").add("illegal", "boolean", False).add("post_id", "long", False).add("resolution", DIMENSION).add("file_extension", "string").add("thumb_extension", "string")
-    .add("original_filename", "string").add("board_filename", "string", False).add("spoiler", "boolean", False).add("file_size_bytes", "int").add("attachment_idx", "int", False)
+    .add("original_filename", "string").add("board_filename", "string", False).add("spoiler", "boolean", False).add("file_size_bytes", "integer").add("attachment_idx", "integer", False)
 )
 SCHEMAS = {"sites": SITES, "boards": BOARDS, "threads": THREADS, "posts": POSTS, "attachments": ATTACHMENTS}
 KEYS = {"sites": ["site_id"], "boards": ["board_id"], "threads": ["thread_id"], "posts": ["post_id"], "attachments": ["attachment_id"]}
