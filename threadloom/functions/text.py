@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORDS = r"[\p{L}\p{N}]+"
 #: Weights of postings in a rank, by class.
@@ -148,7 +149,7 @@ def lexeme(word: str) -> str | None:
     return _STEMS[word]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(words):
     """Stems at the words' places, null for stop words, so positions stay those of the text."""
     return words.map(lambda ws: None if ws is None else [lexeme(w) for w in ws])
@@ -200,7 +201,6 @@ def parse_web(text: str, config: str = "english") -> Query:
 def _has(terms: Column, t: Term) -> Column:
     if len(t.words) == 1:
         return F.coalesce(F.array_contains(terms, t.words[0]), F.lit(False))
-    at = lambda i: F.lit(True) if t.words[i] is None else F.coalesce(F.get(terms, F.col("_i") + i) == t.words[i], F.lit(False))  # noqa: E731, F841
     checks = lambda x: [F.coalesce(F.get(terms, x + i) == w, F.lit(False)) for i, w in enumerate(t.words) if w is not None]
 
     def all_at(x: Column) -> Column:

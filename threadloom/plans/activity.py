@@ -101,7 +101,7 @@ QUERIES = {
     "first_post_lateral": lambda s, d: first_post.by_lateral(_activity(s, d)),
     "first_post_correlated_min": lambda s, d: first_post.by_correlated_min(_activity(s, d)),
     "first_agg_udaf": lambda s, d: first_post.first_agg(_narrow(s, d, "thread_id", "board_post_id", "subject"), "thread_id", "subject", ["board_post_id", "post_id"]),
-    "post_by_board_path": lambda s, d: post_by_board_path(_archive(s, d), "tech", 1 + 20_000).select("post_id", "thread_id", "board_post_id", "creation_time", "body"),
+    "post_by_board_path": lambda s, d: post_by_board_path(_archive(s, d), "tech", 66_486).select("post_id", "thread_id", "board_post_id", "creation_time", "body"),
     "attachments_per_type": lambda s, d: one_per_key(table(s, d, "attachments").select("attachment_id", "mimetype", "file_size_bytes"), ["attachment_id"]).groupBy(F.lower("mimetype").alias("mimetype")).agg(F.count("*").alias("files"), F.sum("file_size_bytes").alias("bytes")),
 }
 
@@ -169,6 +169,6 @@ SQL = {
     "first_post_lateral": f"WITH {P} SELECT t.thread_id, f.post_id FROM (SELECT DISTINCT thread_id FROM p) t JOIN LATERAL (SELECT post_id FROM p WHERE p.thread_id = t.thread_id ORDER BY creation_time, post_id LIMIT 1) f ON true",
     "first_post_correlated_min": f"WITH {P} SELECT thread_id, post_id FROM p WHERE creation_time = (SELECT min(q.creation_time) FROM p q WHERE q.thread_id = p.thread_id)",
     "first_agg_udaf": f"WITH {P} SELECT thread_id, first(subject ORDER BY board_post_id, post_id) FILTER (subject IS NOT NULL) AS first FROM p GROUP BY thread_id",
-    "post_by_board_path": f"WITH {P}, {T} SELECT post_id, p.thread_id, board_post_id, p.creation_time, body FROM p JOIN t ON t.thread_id = p.thread_id JOIN boards b ON b.board_id = t.board_id WHERE pathpart = 'tech' AND board_post_id = 20001",
+    "post_by_board_path": f"WITH {P}, {T} SELECT post_id, p.thread_id, board_post_id, p.creation_time, body FROM p JOIN t ON t.thread_id = p.thread_id JOIN boards b ON b.board_id = t.board_id WHERE pathpart = 'tech' AND board_post_id = 66486",
     "attachments_per_type": "WITH u AS (SELECT attachment_id, any_value(mimetype) AS mimetype, any_value(file_size_bytes) AS file_size_bytes FROM attachments GROUP BY attachment_id) SELECT lower(mimetype) AS mimetype, count(*) AS files, CAST(sum(file_size_bytes) AS BIGINT) AS bytes FROM u GROUP BY lower(mimetype)",
 }

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from threadloom.operators import tree_aggregate
-from threadloom.plans import activity, writing
+from threadloom.plans import activity, searching, writing
 
-_MODULES = [tree_aggregate, activity, writing]
+_MODULES = [tree_aggregate, activity, writing, searching]
 
 QUERIES: dict = {}
 SQL: dict = {}
