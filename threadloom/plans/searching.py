@@ -14,7 +14,7 @@ from threadloom.sources.archive import one_per_key
 
 #: Midnight after the last post of every scale: no age is negative.
 NOW = "2014-06-01 00:00:00"
-RADIUS, K = 4, 5
+RADIUS, K = 14, 5
 NEAR = 8
 
 

@@ -129,7 +129,9 @@ def read_posts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     df = _json(spark, THREAD_SCHEMA, f"{root}/*/res/*.json")
     df = df.withColumn("board_dir", _board_of(r"([^/]+)/res/[^/]+\.json$")).withColumn("thread_no", F.regexp_extract("path", r"/res/(\d+)\.json$", 1).try_cast("bigint"))
     good, bad = _split(df, F.col("_bad").isNull() & _complete(F.col("posts")))
-    return good.select("board_dir", "thread_no", F.inline("posts")), bad
+    # a file whose text is an empty list gives the reader no row at all
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{root}/*/res").select("path") if bad.columns and not df.isEmpty() else df.select("path")
+    return good.select("board_dir", "thread_no", F.inline("posts")), bad.unionByName(listed.join(df.select("path"), "path", "left_anti"))
 
 
 def files_of(posts: DataFrame) -> DataFrame:
