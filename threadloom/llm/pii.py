@@ -74,7 +74,7 @@ ID_NUMBER = re.compile(rf"(?<![a-z])(?:{ID_WORDS})(?:\s*(?:is|was|:|=|#|-)\s*|\s
 _ID_HINT = re.compile(r"ssn|social|tax|tin\b|passport|licen[cs]e|national|identity|personal|id card|nino|identification", re.I)
 
 STREET = re.compile(
-    rf"(?<![\w.#/&;-])(?:(?:flat|apt|apartment|unit|suite)\.? ?#?\d+[a-z]?,? )?(\d{{1,5}}[a-z]?),? ((?:(?:{DIRECTIONS})\.? )?)([a-z][a-z'’-]+(?: [a-z][a-z'’-]+)?) (?:{STREET_WORDS})\b\.?(?:,? (?:#|apt\.? ?|flat ?|unit ?|suite ?)\d+[a-z]?)?",
+    rf"(?<![\w.#/&;-])(?:(?:flat|apt|apartment|unit|suite)\.? ?#?\d+[a-z]?,? )?(\d{{1,5}}[a-z]?),? ((?:(?:{DIRECTIONS})\.? )?)([a-z][a-z'’-]+(?: [a-z][a-z'’-]+)?) (?:(?:st|rd|ln|ave|dr|ct|pl|sq|blvd)\b\.?|(?:{STREET_WORDS})\b)(?:,? (?:#|apt\.? ?|flat ?|unit ?|suite ?)\d+[a-z]?)?",
     re.I,
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
