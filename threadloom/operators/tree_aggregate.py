@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.common import table
+from threadloom.common import table, utc
 
 FAN_IN = 8
 _FIRST = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
@@ -83,7 +83,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_thread(table(spark, sf_dir, "posts"))
+    return per_thread(table(spark, sf_dir, "posts")).withColumns({c: utc(c) for c in ("first_time", "last_time")})
 
 
 def p1_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +100,8 @@ SQL = {
         SELECT 'threads.board_id', CAST(board_id AS BIGINT) FROM threads WHERE board_id IS NOT NULL
         GROUP BY board_id HAVING count(*) >= 0.05 * (SELECT count(*) FROM threads)""",
     "p1_threads": """
-        SELECT thread_id, count(DISTINCT post_id) AS posts, count(*) AS rows, min(creation_time) AS first_time,
-               max(creation_time) AS last_time, max(local_idx) AS max_local_idx
+        SELECT thread_id, count(DISTINCT post_id) AS posts, count(*) AS rows, min(creation_time) AT TIME ZONE 'UTC' AS first_time,
+               max(creation_time) AT TIME ZONE 'UTC' AS last_time, max(local_idx) AS max_local_idx
         FROM posts GROUP BY thread_id""",
     "p1_boards": """
         WITH t AS (SELECT board_id, thread_id, count(*) AS n FROM threads GROUP BY ALL),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.common import table, utc
 from threadloom.operators import catalog, first_post, ranking
-from threadloom.sources.archive import Archive, one_per_key, post_by_board_path
+from threadloom.sources.archive import STABLE, Archive, one_per_key, post_by_board_path
 from threadloom.functions.timefn import on_day
 
 AS_OF, LATER = "2013-11-02 00:00:00", "2014-01-15 12:00:00"
@@ -26,7 +26,8 @@ TOP = """top AS (SELECT max(creation_time) AS bump_time, count(*) AS post_count,
 
 def _narrow(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Unique posts of a few columns, as times without zone."""
-    df = table(spark, d, "posts").select("post_id", *columns).groupBy("post_id").agg(*[F.max(c).alias(c) for c in columns])
+    stable = [c for c in columns if c in STABLE["posts"]]
+    df = one_per_key(table(spark, d, "posts").select("post_id", *columns), ["post_id"], stable)
     return df.withColumn("creation_time", utc("creation_time")) if "creation_time" in columns else df
 
 

@@ -35,10 +35,17 @@ UNIQUE = {
 }
 
 
-def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: copies are equal, except that a value may be null in one of them."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(*[F.max(c).alias(c) if df.schema[c].dataType.typeName() in ("string",) else F.first(c, ignorenulls=True).alias(c) for c in rest]).select(df.columns)
+#: Columns that are equal in every copy of a row: with the key they are the groups, so filters on them reach the scan.
+STABLE = {"threads": ["board_thread_id", "creation_time", "board_id"], "posts": ["board_post_id", "creation_time", "thread_id", "local_idx"], "attachments": ["post_id", "attachment_idx", "illegal"]}
+
+
+def one_per_key(df: DataFrame, keys: list[str], stable: list[str] | None = None) -> DataFrame:
+    """One row per key: copies are equal, except that a value (not a stable one) may be null in one of them."""
+    groups = [*keys, *(stable or [])]
+    rest = [c for c in df.columns if c not in groups]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*groups).agg(*[F.max(c).alias(c) if df.schema[c].dataType.typeName() == "string" else F.first(c, ignorenulls=True).alias(c) for c in rest]).select(df.columns)
 
 
 @dataclass
@@ -53,7 +60,7 @@ class Archive:
     def load(cls, spark: SparkSession, sf_dir: str, unique: bool = False) -> Archive:
         """The tables of a directory. With unique=True the keys are known to be unique and nothing is compared."""
         raw = {t: table(spark, sf_dir, t) for t in SCHEMAS}
-        return cls(**{t: df if unique or t in ("sites", "boards") else one_per_key(df, KEYS[t]) for t, df in raw.items()})
+        return cls(**{t: df if unique or t in ("sites", "boards") else one_per_key(df, KEYS[t], STABLE[t]) for t, df in raw.items()})
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Archive:
