@@ -98,7 +98,7 @@ def max_local_idx(posts: DataFrame, thread_ids: DataFrame) -> DataFrame:
 def post_by_board_path(archive: Archive, pathpart: str, board_post_id: int) -> DataFrame:
     """Posts with a number on the boards with a path."""
     boards = archive.boards.where(F.col("pathpart") == pathpart).select("board_id")
-    threads = archive.threads.join(F.broadcast(boards), "board_id", "left_semi").select("thread_id")
+    threads = archive.threads.join(boards, "board_id", "left_semi").select("thread_id")
     return archive.posts.where(F.col("board_post_id") == board_post_id).join(threads, "thread_id", "left_semi")
 
 
