@@ -52,11 +52,13 @@ _DOT = r"(?:\.|\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+)"
 _HOST = rf"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:{_DOT}[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*{_DOT}[a-z]{{2,24}}"
 _LOCAL = r"[a-z0-9_%+-]+(?:(?:\.|\s+dot\s+|\s*[\[({]\s*dot\s*[\])}]\s*)[a-z0-9_%+-]+)*"
 EMAIL = re.compile(rf"(?<![\w.+-])({_LOCAL})(?:{_AT}({_HOST})|\s+at\s+([a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)*\s+dot\s+[a-z]{{2,24}}))(?![\w@])", re.I)
-_EMAIL_HINT = re.compile(r"[@＠]|&#64;|&#x40;|&commat;|\bdot\b|[\[({<]\s*at\s*[\])}>]", re.I)
+#: What a text (in lower case) with a mail address holds at least one of.
+_EMAIL_HINTS = ("@", "＠", "&#64;", "&#x40;", "&commat;", "dot", "at]", "at)", "at}", "at>")
+_EMAIL_BRACKET = re.compile(r"[\[({<]\s*at\s+[\])}>]")
 
 _NUMBER = re.compile(r"(?<![\w/#.>-])(?:\+|\(\+?)?\d[\d\-. ()/]{5,22}\d(?![\w-]|\.\d)")
 _SPELLED = re.compile(rf"(?<![\w/#.>-])\+?\d*(?:[ \-.]*(?:\d+|{'|'.join(DIGIT_WORDS)})\b)+", re.I)
-_SPELLED_HINT = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})[ -](?:{'|'.join(DIGIT_WORDS)})\b", re.I)
+_SPELLED_HINT = re.compile(rf"\b(?:{'|'.join(DIGIT_WORDS)})[ -](?:{'|'.join(DIGIT_WORDS)})\b")
 PHONE_FORMS = re.compile(
     r"(?:"
     r"(?:\+|00)44[ .-]?(?:\(0\)[ .-]?)?(?:\d[ .-]?){9}\d"  # United Kingdom, with country
@@ -71,7 +73,8 @@ _OTHER = re.compile(rf"\b(?:{OTHER_NUMBERS})\b[\s:=#.]*(?:(?:is|was|number|no\.?
 _PHONEISH = re.compile(rf"\b(?:{PHONE_WORDS})\b[^\d]{{0,20}}$", re.I)
 
 ID_NUMBER = re.compile(rf"(?<![a-z])(?:{ID_WORDS})(?:\s*(?:is|was|:|=|#|-)\s*|\s+)+((?:[a-z]{{1,3}}[ -]?)?\d(?:[\d\-+ .]*\d)?(?:[ -]?[a-z](?![a-z]))?)", re.I)
-_ID_HINT = re.compile(r"ssn|social|tax|tin\b|passport|licen[cs]e|national|identity|personal|id card|nino|identification", re.I)
+#: What a text (in lower case) that speaks of an identity number holds at least one of.
+_ID_HINTS = ("ssn", "social", "tax", "tin", "passport", "licen", "national", "identi", "personal", "id card", "nino")
 
 STREET = re.compile(
     rf"(?<![\w.#/&;-])(?:(?:flat|apt|apartment|unit|suite)\.? ?#?\d+[a-z]?,? )?(\d{{1,5}}[a-z]?),? ((?:(?:{DIRECTIONS})\.? )?)([a-z][a-z'’-]+(?: [a-z][a-z'’-]+)?) (?:(?:st|rd|ln|ave|dr|ct|pl|sq|blvd)\b\.?|(?:{STREET_WORDS})\b)(?:,? (?:#|apt\.? ?|flat ?|unit ?|suite ?)\d+[a-z]?)?",
@@ -131,12 +134,13 @@ class Detector:
         def free(a: int, b: int) -> bool:
             return all(b <= x or y <= a for x, y, _, _ in found)
 
-        if _EMAIL_HINT.search(text):
+        low = text.lower()
+        if any(h in low for h in _EMAIL_HINTS) or _EMAIL_BRACKET.search(low):
             for m in EMAIL.finditer(text):
                 found.append((m.start(), m.end(), "email", self.email_form(m)))
         digits = any(c in text for c in "0123456789")
         if digits:
-            if _ID_HINT.search(text):
+            if any(h in low for h in _ID_HINTS):
                 for m in ID_NUMBER.finditer(text):
                     n = re.sub(r"[^0-9a-z]", "", m[1].lower())
                     if sum(c.isdigit() for c in n) >= 6 and free(*m.span(1)):
@@ -153,14 +157,14 @@ class Detector:
                     p = None
                 if p and free(a, a + p.end()) and not _OTHER.search(text, max(0, a - 40), a):
                     found.append((a, a + p.end(), "phone", self.phone_form(p[0])))
-        if _SPELLED_HINT.search(text):
+        if _SPELLED_HINT.search(low):
             for m in _SPELLED.finditer(text):
                 n = self.phone_form(m[0])
                 if 7 <= len(n) <= 12 and re.search("[a-z]", m[0], re.I) and free(*m.span()):
                     lead = len(m[0]) - len(m[0].lstrip(" -."))
                     found.append((m.start() + lead, m.end(), "phone", n))
         is_family = self.parts.family.__getitem__
-        if any(map(is_family, set(map(str.lower, _WORD.findall(text))))):
+        if any(map(is_family, set(_WORD.findall(low)))):
             for order, form in enumerate(self.name_forms):
                 at = 0
                 while m := form.search(text, at):
