@@ -10,6 +10,7 @@ CASES = [
     ("mail me at norric.oakley@relay.example ok", "email", "norric.oakley@relay.example"),
     ("a.b+c (at) post (dot) example.", "email", "a.b+c (at) post (dot) example"),
     ("write norric dot oakley at relay dot example now", "email", "norric dot oakley at relay dot example"),
+    ("mail me at ulina dot oakley at relay dot example", "email", "ulina dot oakley at relay dot example"),
     ("x[at]inbox.test", "email", "x[at]inbox.test"), ("u＠inbox.test", "email", "u＠inbox.test"), ("u&#64;inbox.test", "email", "u&#64;inbox.test"), ("A @ B.TEST", "email", "A @ B.TEST"),
     ("tel: +44 (0)7700 900123!", "phone", "+44 (0)7700 900123"), ("call 0044 7700 900 123", "phone", "0044 7700 900 123"), ("020 7946 0011", "phone", "020 7946 0011"),
     ("(690) 555-0119.", "phone", "(690) 555-0119"), ("734.555.0116", "phone", "734.555.0116"), ("13475550103", "phone", "13475550103"), ("text me 551 five five five 0142", "phone", "551 five five five 0142"),

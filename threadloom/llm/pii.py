@@ -51,7 +51,7 @@ _AT = r"(?:\s*[@＠]\s*|&#64;|&#x40;|&commat;|\s*[\[({<]\s*at\s*[\])}>]\s*)"
 _DOT = r"(?:\.|\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+)"
 _HOST = rf"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:{_DOT}[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*{_DOT}[a-z]{{2,24}}"
 _LOCAL = r"[a-z0-9_%+-]+(?:(?:\.|\s+dot\s+|\s*[\[({]\s*dot\s*[\])}]\s*)[a-z0-9_%+-]+)*"
-EMAIL = re.compile(rf"(?<![\w.+-])({_LOCAL})(?:{_AT}({_HOST})|\s+at\s+([a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)*\s+dot\s+[a-z]{{2,24}}))(?![\w@])", re.I)
+EMAIL = re.compile(rf"(?<![\w.+-])({_LOCAL})(?:{_AT}({_HOST})|\s+at\s+([a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)*\s+dot\s+[a-z]{{2,24}})(?!\s+(?:at|dot)\s))(?![\w@])", re.I)
 #: What a text (in lower case) with a mail address holds at least one of.
 _EMAIL_HINTS = ("@", "＠", "&#64;", "&#x40;", "&commat;", "dot", "at]", "at)", "at}", "at>")
 _EMAIL_BRACKET = re.compile(r"[\[({<]\s*at\s+[\])}>]")
@@ -170,7 +170,11 @@ class Detector:
                 while m := form.search(text, at):
                     given, family = (m[1], m[3]) if order == 0 else (m[3], m[1])
                     initial = given.endswith(".") or len(given) == 1
-                    yes = all(map(is_family, family.lower().split("-"))) and (initial or self.parts.given[given.lower()])
+                    parts = family.lower().split("-")
+                    yes = all(map(is_family, parts)) and (initial or self.parts.given[given.lower()])
+                    # two words in small letters that are only made of name parts may be any words
+                    if yes and not (given[:1].isupper() and family[:1].isupper()):
+                        yes = given.lower() in self.parts.given.known or any(p in self.parts.family.known for p in parts)
                     if yes and free(*m.span()):
                         found.append((*m.span(), "person_name", f"{given.strip('.').lower()} {family.lower()}"))
                         at = m.end()
