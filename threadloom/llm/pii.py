@@ -302,14 +302,22 @@ def _long_texts(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFram
     return df.select(F.col(id_col).alias("_id"), *[F.col(f).cast("string").alias(f) for f in fields])
 
 
-def detect(df: DataFrame, names: DataFrame, id_col: str = "post_id", fields: tuple[str, ...] = FIELDS, forms: bool = False) -> DataFrame:
-    """(id, field, pii_type) for each type in each field; with forms also the canonical form of each entity."""
-    shared = df.sparkSession.sparkContext.broadcast(name_table(names))
+def detect(df: DataFrame, names: DataFrame, id_col: str = "post_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(id, field, pii_type) for each type in each field of each row."""
+    texts = _long_texts(df, id_col, fields)
+    return _spans(texts, names, fields, False).withColumnRenamed("_id", id_col)
+
+
+def _spans(texts: DataFrame, names: DataFrame, fields: tuple[str, ...], places: bool) -> DataFrame:
+    """(first column, field, pii_type), one row a type; with places also start, end and form, one row an entity."""
+    shared = texts.sparkSession.sparkContext.broadcast(name_table(names))
+    key, key_type = texts.dtypes[0]
+    out = ["field", "pii_type", "start", "end", "form"][: 5 if places else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = _detector(shared)
         for batch in batches:
-            at, field, kind, form = [], [], [], []
+            at, rows = [], []
             for k, f in enumerate(fields):
                 memo: dict[str, list] = {}
                 for i, text in enumerate(batch.column(k + 1).to_pylist()):
@@ -317,21 +325,18 @@ def detect(df: DataFrame, names: DataFrame, id_col: str = "post_id", fields: tup
                         continue
                     found = memo.get(text)
                     if found is None:
-                        found = {(t, c) if forms else (t, "") for _, _, t, c in detector(text)}
+                        found = detector(text)
+                        found = [(f, t, a, b, c) for a, b, t, c in found] if places else [(f, t) for t in {x[2] for x in found}]
                         if len(text) < 64:
                             memo[text] = found
-                    for t, c in found:
-                        at.append(i)
-                        field.append(f)
-                        kind.append(t)
-                        form.append(c)
-            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(field, pa.string()), pa.array(kind, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(form, pa.string())] * forms, names=["_id", "field", "pii_type", "form"][: 3 + forms])
+                    at += [i] * len(found)
+                    rows += found
+            columns = list(zip(*rows)) if rows else [()] * len(out)
+            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, types))], names=[key, *out])
 
-    texts = _long_texts(df, id_col, fields)
-    id_type = dict(texts.dtypes)["_id"]
-    out = texts.mapInArrow(run, f"_id {id_type}, field string, pii_type string" + ", form string" * forms)
-    return out.withColumnRenamed("_id", id_col)
+    kinds = {"field": "string", "pii_type": "string", "start": "int", "end": "int", "form": "string"}
+    return texts.mapInArrow(run, f"`{key}` {key_type}, " + ", ".join(f"`{c}` {kinds[c]}" for c in out))
 
 
 def draws(entities: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
@@ -363,35 +368,40 @@ def draws(entities: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
 
 
 def redact(df: DataFrame, names: DataFrame, id_col: str = "post_id", fields: tuple[str, ...] = FIELDS, key: bytes = b"threadloom") -> DataFrame:
-    """(id, *fields) with every entity replaced; a caller keeps `key` secret and constant."""
-    found = detect(df, names, id_col, fields, forms=True).where(F.col(id_col).isNotNull())
-    found = stage(found.select(id_col, "pii_type", "form").distinct(), "pii-found")
-    again = draws(found, names, key)
-    of_post = found.join(again, ["pii_type", "form"]).groupBy(F.col(id_col).alias("_id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\0", "pii_type", "form"), "draw"))).alias("draws"))
+    """(id, *fields) with every entity replaced; a caller keeps `key` secret and constant.
+
+    Texts are searched once. What was found is kept by a digest of the row's id and texts, so rows that
+    repeat an id with other texts each get their own.
+    """
+    texts = _long_texts(df, id_col, fields).withColumn("_key", F.xxhash64("_id", *fields))
+    found = stage(_spans(texts.select("_key", *fields), names, fields, True).dropDuplicates(["_key", "field", "start"]), "pii-spans")
+    again = draws(found.select("pii_type", "form"), names, key)
+    found = found.join(again, ["pii_type", "form"], "left").withColumn("draw", F.coalesce("draw", F.lit(0)))
+    found = found.groupBy("_key").agg(F.collect_list(F.struct("field", "start", "end", "pii_type", "form", "draw")).alias("_found"))
     shared = df.sparkSession.sparkContext.broadcast(name_table(names))
-    texts = _long_texts(df, id_col, fields).join(of_post, "_id", "left")
+    joined = texts.join(found, "_key", "left").select("_id", *fields, "_found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        detector = _detector(shared)
-        made = Surrogates(key, detector.parts)
+        made = Surrogates(key, _detector(shared).parts)
         for b in batches:
-            again = [dict(x) if x else {} for x in b.column(len(fields) + 1).to_pylist()]
-            columns = []
-            for k in range(len(fields)):
-                out = []
-                for text, more in zip(b.column(k + 1).to_pylist(), again):
-                    if text:
-                        at, parts = 0, []
-                        for s, e, t, form in detector(text):
-                            parts += [text[at:s], f"[{t} {made.write(text[s:e], t, form, more.get(f'{t}\0{form}', 0))}]"]
+            columns = [b.column(k + 1) for k in range(len(fields))]
+            hits = [(i, x) for i, x in enumerate(b.column(len(fields) + 1).to_pylist()) if x]
+            if hits:
+                texts = [c.to_pylist() for c in columns]
+                for i, spans in hits:
+                    for k, f in enumerate(fields):
+                        at, parts, text = 0, [], texts[k][i]
+                        for x in sorted((x for x in spans if x["field"] == f), key=lambda x: x["start"]):
+                            s, e, t = x["start"], x["end"], x["pii_type"]
+                            parts += [text[at:s], f"[{t} {made.write(text[s:e], t, x['form'], x['draw'])}]"]
                             at = e
-                        text = "".join([*parts, text[at:]]) if parts else text
-                    out.append(text)
-                columns.append(pa.array(out, pa.string()))
+                        if parts:
+                            texts[k][i] = "".join([*parts, text[at:]])
+                columns = [pa.array(t, pa.string()) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["_id", *fields])
 
-    id_type = dict(texts.dtypes)["_id"]
-    return texts.mapInArrow(run, f"_id {id_type}, " + ", ".join(f"{f} string" for f in fields)).withColumnRenamed("_id", id_col)
+    id_type = dict(joined.dtypes)["_id"]
+    return joined.mapInArrow(run, f"_id {id_type}, " + ", ".join(f"{f} string" for f in fields)).withColumnRenamed("_id", id_col)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
