@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.common import stage
+from threadloom.llm.batches import parts
 
 SIMILARITY, LEAST_WORDS = 0.65, 40
 BANDS, ROWS = 36, 5
@@ -131,8 +132,7 @@ def features(df: DataFrame, id_col: str, body_col: str, least_words: int = LEAST
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _Words(), set()
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
+            for batch in parts(whole, [whole.num_columns - 1], 2048):
                 groups = batch.column(1).to_pylist() if group else [None] * batch.num_rows
                 rows, fps, sets, first = [], [], [], []
                 for i, body in enumerate(batch.column(batch.num_columns - 1).to_pylist()):

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.batches import parts
+
 #: Fixed value: the public pattern that splits text into words before any merge.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pattern where a text holds ASCII only, for the faster standard library engine.
@@ -142,11 +144,6 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def _encoder(shared) -> Encoder:
     """One encoder per Python worker and vocabulary."""
     if id(shared.value) not in _ENCODERS:
@@ -164,7 +161,7 @@ def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in parts(whole, [1], 512):
                 got = encoder.encode(batch.column(1).to_pylist())
                 sizes = np.fromiter(map(len, got), np.int32, len(got))
                 if counts_only:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.common import stage
+from threadloom.llm.batches import parts
 
 #: Letters of other scripts and the Latin letters of the same shape.
 LOOKALIKES = {
@@ -247,8 +248,7 @@ def canonical_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = _canonical(shared)
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
+            for batch in parts(whole, [1], 512):
                 texts = batch.column(1).to_pylist()
                 forms = canon(texts)
                 if digests:
