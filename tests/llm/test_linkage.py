@@ -1,3 +1,4 @@
+import base64
 import random
 
 from pyspark.sql import functions as F
@@ -17,6 +18,21 @@ def test_forms(spark):
     assert [r[1] for r in rows] == [h, h, h, None, None, h, None, None, h]
 
 
+def test_base64_hashes(spark):
+    """The same 32 bytes in base64 and in hex digits are one hash; the bytes are read by Python here, not by hash_of."""
+    raw = bytes(range(200, 232))
+    b64 = base64.b64encode(raw).decode()
+    forms = [b64, f" {b64}\n", b64.rstrip("="), f"sha256-{b64}", f"SHA-256: {b64}", raw.hex(), b64.lower(), b64[1:], b64 + "A", base64.b64encode(raw[1:]).decode()]
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(forms)], "i long, h string").select("i", linkage.hash_of(F.col("h")).alias("h")).collect()
+    assert {r.i: r.h for r in rows} == {i: raw.hex() if i < 6 else base64.b64decode(b64.lower()).hex() if i == 6 else None for i in range(len(forms))}
+    index = linkage.LinkageIndex(spark)
+    index.add_history(spark.createDataFrame([(1, 1, 1, None)], POSTS), spark.createDataFrame([(raw.hex(), 1)], "sha256_hash string, post_id long"))
+    other = base64.b64encode(bytes(32)).decode()
+    records = [(1, 1, 5, None, None, b64), (2, 1, 5, None, None, other), (3, 1, 5, None, None, bytes(32).hex())]
+    decisions, _ = index.process(spark.createDataFrame([(*r, "", "") for r in records], INCOMING))
+    assert {r.incoming_id for r in decisions.where("repeat").collect()} == {1, 3}
+
+
 def make(seed):
     rnd = random.Random(seed)
     bodies = [" ".join(rnd.sample(VOCABULARY, 60)) for _ in range(8)]

@@ -47,9 +47,11 @@ def number_of(c: Column) -> Column:
 
 
 def hash_of(c: Column) -> Column:
-    """A SHA-256 hash written in any of the usual ways, as 64 lower-case digits; else null."""
+    """A SHA-256 hash written in any of the usual ways (hex digits or base64), as 64 lower-case digits; else null."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.translate(c, *WIDE)), r"^\s*(?:sha-?256\s*[:=\-]?\s*|0x)", ""), r"[\s:\-]", "")
-    return F.when(plain.rlike("^[0-9a-f]{64}$"), plain)
+    # 43 characters of base64, with or without the filling one, are 32 bytes; case counts, so this reads the text as it is
+    base64 = F.regexp_extract(F.regexp_replace(c, r"\s", ""), r"^(?:(?i:sha-?256)[:=\-]?)?([A-Za-z0-9+/]{43})=?$", 1)
+    return F.when(base64 != "", F.lower(F.hex(F.unbase64(F.concat(base64, F.lit("=")))))).when(plain.rlike("^[0-9a-f]{64}$"), plain)
 
 
 def _key(kind: str, *parts: Column) -> Column:
