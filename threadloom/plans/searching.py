@@ -44,9 +44,9 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return one_per_key(table(spark, d, "attachments").select("attachment_id", "phash"), ["attachment_id"])
 
 
-def _nearest(spark: SparkSession, d: str) -> DataFrame:
+def _nearest(spark: SparkSession, d: str, k: int = K, radius: int | None = NEAR) -> DataFrame:
     files = _files(spark, d)
-    near = phash.nearest(files, files.where("attachment_id % 20 = 0"), K, NEAR)
+    near = phash.nearest(files, files.where("attachment_id % 20 = 0"), k, radius)
     return near.select("query", "phash", F.col("distance").cast("bigint").alias("distance"), F.col("place").cast("bigint").alias("place"))
 
 
@@ -69,6 +69,8 @@ QUERIES = {
     "search_index_weighted": _postings,
     "phash_radius": lambda s, d: phash.within_radius(_files(s, d), RADIUS).withColumn("distance", F.col("distance").cast("bigint")),
     "phash_knn": _nearest,
+    # each query hash itself and its K neighbours, however far
+    "phash_knn_exact": lambda s, d: _nearest(s, d, K + 1, None),
 }
 
 _WORDS = "regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')"
@@ -112,4 +114,7 @@ SQL = {
     "phash_knn": f"""WITH h AS (SELECT DISTINCT phash FROM attachments WHERE phash IS NOT NULL), q AS (SELECT DISTINCT phash AS query FROM attachments WHERE phash IS NOT NULL AND attachment_id % 20 = 0),
         d AS (SELECT query, phash, CAST({_DIST.format(a='query', b='phash')} AS BIGINT) AS distance FROM q JOIN h ON true), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, phash) AS place FROM d WHERE distance <= {NEAR})
         SELECT query, phash, distance, place FROM n WHERE place <= {K}""",
+    "phash_knn_exact": f"""WITH h AS (SELECT DISTINCT phash FROM attachments WHERE phash IS NOT NULL), q AS (SELECT DISTINCT phash AS query FROM attachments WHERE phash IS NOT NULL AND attachment_id % 20 = 0),
+        d AS (SELECT query, phash, CAST({_DIST.format(a='query', b='phash')} AS BIGINT) AS distance FROM q JOIN h ON true), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, phash) AS place FROM d)
+        SELECT query, phash, distance, place FROM n WHERE place <= {K + 1}""",
 }
