@@ -111,3 +111,16 @@ def test_weights(spark):
     w = linkage.learned_weights(links, {"number": 1e-4, "hash": 1e-5, "body": 1e-6})
     assert all(v > 5 for v in w.values()) and w["body"] > w["number"]
     assert set(linkage.learned_weights(links.limit(0), {"number": 1e-4, "hash": 1e-5, "body": 1e-6})) == set(linkage.FIELDS)
+
+
+def test_first_load_into_an_empty_archive(spark, tmp_path):
+    """Without a history the learned weights are negative; repeats in two fields still are cases."""
+    body, h = " ".join(VOCABULARY[:60]), "c" * 64
+    rows = [(0, 1, 5, "7", None, h)] + [(i, 2, 5, "7", None, h) for i in range(1, 11)] + [(i, 3, 6, None, body, None) for i in range(11, 102)] + [(102, 3, 6, "1", None, None)]
+    spark.createDataFrame([], POSTS).write.parquet(f"{tmp_path}/posts.parquet")
+    spark.createDataFrame([], "sha256_hash string, post_id long").write.parquet(f"{tmp_path}/attachments.parquet")
+    spark.createDataFrame([(*r, "", "") for r in rows], INCOMING).write.parquet(f"{tmp_path}/incoming_posts.parquet")
+    want = set(range(1, 11)) | set(range(12, 102))
+    assert sorted(r.incoming_id for r in linkage.p3_found(spark, str(tmp_path)).collect()) == sorted(want)
+    links = linkage.p3_links(spark, str(tmp_path)).collect()
+    assert {r.incoming_id for r in links} == want and {r.id for r in links} == {0, 11}

@@ -200,26 +200,25 @@ def _linked(spark: SparkSession, sf_dir: str) -> tuple[LinkageIndex, DataFrame,
     return index, *index.process(incoming)
 
 
-def scored_links(index: LinkageIndex, links: DataFrame) -> tuple[DataFrame, float]:
-    """(incoming_id, entity, by_*, score) and the score that one agreeing field gives at least."""
+def scored_links(index: LinkageIndex, links: DataFrame) -> DataFrame:
+    """(incoming_id, entity, by_*, score). The score ranks links; it decides nothing, as weights of few records may be negative."""
     weights = learned_weights(links, collision_rates(index.keys[0], index.bodies[0]))
     pattern = links.groupBy("incoming_id", "entity").agg(*[F.max(F.col("field") == f).alias(f"by_{f}") for f in FIELDS])
     score = reduce(lambda a, b: a + b, [F.when(F.col(f"by_{f}"), F.lit(weights[f])).otherwise(0.0) for f in FIELDS])
-    return pattern.withColumn("score", F.round(score, 3)), min(weights.values()) - 0.001
+    return pattern.withColumn("score", F.round(score, 3))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """incoming_id of the records that repeat an accepted one; all waiting batches are decided in one call, in their order."""
-    index, _, links = _linked(spark, sf_dir)
-    scored, least = scored_links(index, links)
-    return scored.where(F.col("score") >= least).select("incoming_id").distinct()
+    _, decisions, _ = _linked(spark, sf_dir)
+    return decisions.where("repeat").select("incoming_id")
 
 
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """incoming_id, kind and id of what it repeats, by_number, by_hash, by_body, score: the sum of the learned weights that agree."""
     index, _, links = _linked(spark, sf_dir)
     kind = F.when(F.col("entity") % 2 == 0, "post").otherwise("incoming").alias("kind")
-    return scored_links(index, links)[0].select("incoming_id", kind, F.floor(F.col("entity") / 2).alias("id"), *[f"by_{f}" for f in FIELDS], "score")
+    return scored_links(index, links).select("incoming_id", kind, F.floor(F.col("entity") / 2).alias("id"), *[f"by_{f}" for f in FIELDS], "score")
 
 
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
