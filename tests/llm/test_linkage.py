@@ -124,3 +124,57 @@ def test_first_load_into_an_empty_archive(spark, tmp_path):
     assert sorted(r.incoming_id for r in linkage.p3_found(spark, str(tmp_path)).collect()) == sorted(want)
     links = linkage.p3_links(spark, str(tmp_path)).collect()
     assert {r.incoming_id for r in links} == want and {r.id for r in links} == {0, 11}
+
+
+def all_links(posts, files, incoming, cases):
+    """Every agreement of a case with posts, files and earlier records that are no cases."""
+    sets = lambda t, b: (t, near_dup.word_set(b) if b else set())
+    number = lambda n: int(n.strip(">")) if n and n.strip(">").isdigit() else None
+    plain = lambda h: h.lower().removeprefix("0x") if h and len(h) >= 64 else None
+    known = [(2 * p, t, n, None, sets(t, b)) for p, t, n, b in posts] + [(2 * p, None, None, plain(h), sets(None, None)) for h, p in files]
+    found = set()
+    for i, _, t, n, b, h, *_ in sorted(incoming, key=lambda r: (r[1], r[0])):
+        n, h, (_, w) = number(n), plain(h), sets(t, b)
+        if i not in cases:
+            known.append((2 * i + 1, t, n, h, (t, w)))
+            continue
+        for e, t2, n2, h2, (u, x) in known:
+            if t is not None and n is not None and (t, n) == (t2, n2):
+                found.add((i, "number", e))
+            if h is not None and h == h2:
+                found.add((i, "hash", e))
+            if t is not None and t == u and len(w) >= 40 and len(x) >= 40 and len(w & x) >= 0.65 * len(w | x):
+                found.add((i, "body", e))
+    return found
+
+
+def test_links_are_complete_at_any_split(spark):
+    posts, files, incoming = make(3)
+    files += [(f"{2:064x}", 9), (f"{3:064x}", 9)]
+    p, f = spark.createDataFrame(posts, POSTS), spark.createDataFrame(files, "sha256_hash string, post_id long")
+    i = spark.createDataFrame(incoming, INCOMING).repartition(3)
+    want, clusters = all_links(posts, files, incoming, brute(posts, files, incoming)), []
+    for batches in (["true"], ["batch_no < 3", "batch_no >= 3"]):
+        index, got = linkage.LinkageIndex(spark), set()
+        index.add_history(p, f)
+        for b in batches:
+            links = index.process(i.where(b))[1]
+            index.merge(links)
+            got |= {tuple(r) for r in links.collect()}
+        assert got == want
+        clusters.append(sorted(map(tuple, index.clusters.collect())))
+    parent = {}
+    find = lambda x: find(parent[x]) if x in parent else x
+    for r, _, e in want:
+        a, b = sorted((find(2 * r + 1), find(e - (1 << 62) if e % 2 == 0 else e)))
+        if a != b:
+            parent[b] = a
+    assert clusters[0] == clusters[1] == sorted((x, find(x)) for x in parent)
+
+
+def test_link_to_history_and_to_an_accepted_record(spark):
+    index = linkage.LinkageIndex(spark)
+    index.add_history(spark.createDataFrame([(1, 5, 7, None)], POSTS), spark.createDataFrame([], "sha256_hash string, post_id long"))
+    rows = [(1, 1, 5, "8", None, "a" * 64), (2, 1, 5, "7", None, "a" * 64)]
+    links = index.process(spark.createDataFrame([(*r, "", "") for r in rows], INCOMING))[1]
+    assert sorted(tuple(r) for r in links.collect()) == [(2, "hash", 3), (2, "number", 2)]

@@ -2,7 +2,7 @@
 
 `LinkageIndex` keeps blocking-key tables in the shared folder, in segments: one for the history, one
 more for the accepted records of each call. Key tables hold a digest of each exact key (thread and
-number; file hash) with the least entity that has it; body tables hold the word set, bands and sketch of
+number; file hash) with every entity that has it; body tables hold the word set, bands and sketch of
 each different body of a thread (those of near-duplicate detection, within the thread). A batch is
 probed against these tables by equi-joins on its keys; bodies of the history are read and split into
 words once, when its segment is made, and never again.
@@ -14,12 +14,13 @@ the file hash, or the body within the thread agrees with a record that was accep
 one call are decided in their order in rounds: a record no earlier undecided one agrees with is
 accepted; what agrees with it is a repeat. Only records that agree with another one take part in rounds.
 
-Clusters: links lead from each repeat to one accepted entity a field; union-find over the new links
-maps each to its representative, and only clusters that get a link are touched.
+Links follow from the decisions: each repeat leads to every entity accepted before it, in every field
+that agrees. Clusters: `merge` adds the links of a call by union-find over the representatives they
+touch; the other clusters keep theirs.
 
 Defined results: nulls and unreadable numbers or hashes match nothing; a record without any key is
 accepted. Rows that repeat an incoming_id count once. An empty batch or history is allowed. The result
-does not depend on how the records are split into calls.
+does not depend on how the records are split into calls: decisions, links and clusters are the same.
 """
 
 from __future__ import annotations
@@ -66,12 +67,13 @@ class LinkageIndex:
     spark: SparkSession
     keys: list[DataFrame] = field(default_factory=list)  # key, entity
     bodies: list[DataFrame] = field(default_factory=list)  # entity, fp, words, bands, sketch, sketch2
+    clusters: DataFrame | None = None  # node, root: of every node but the roots; nodes as of node_of()
 
     def add_history(self, posts: DataFrame, attachments: DataFrame) -> None:
         """Make the history's segment."""
         numbers = posts.select(_key("number", F.col("thread_id"), F.col("board_post_id")).alias("key"), (F.col("post_id") * 2).alias("entity"))
         hashes = attachments.select(_key("hash", hash_of(F.col("sha256_hash"))).alias("key"), (F.col("post_id") * 2).alias("entity"))
-        keys = numbers.unionByName(hashes).where("key is not null").groupBy("key").agg(F.min("entity").alias("entity"))
+        keys = numbers.unionByName(hashes).where("key is not null").distinct()
         self.keys.append(stage(keys, "link-keys"))
         self.bodies.append(stage(self._bodies(posts.select((F.col("post_id") * 2).alias("entity"), "thread_id", "body")), "link-bodies"))
 
@@ -80,7 +82,10 @@ class LinkageIndex:
         return near_dup.features(df, "entity", "body", group_col="thread_id").drop("thread_id")
 
     def process(self, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(decisions: incoming_id, repeat; links: incoming_id, field, entity); accepted records join the index."""
+        """(decisions: incoming_id, repeat; links: incoming_id, field, entity); accepted records join the index.
+
+        The links are not computed before they are read, so a caller that wants the decisions does not pay for them.
+        """
         one = records.groupBy("incoming_id").agg(*[F.first(c).alias(c) for c in ("batch_no", "thread_id", "board_post_id", "body", "sha256_hash")])
         rec = stage(
             one.select(
@@ -98,32 +103,30 @@ class LinkageIndex:
         exact = rec.select("entity", "ord", F.explode(F.array(F.struct(F.lit("number").alias("field"), F.col("number").alias("key")), F.struct(F.lit("hash").alias("field"), F.col("hash").alias("key")))).alias("k")).select("entity", "ord", "k.field", "k.key").where("key is not null")
         known = reduce(DataFrame.unionByName, self.keys) if self.keys else None
 
+        body_key = lambda c: F.unhex(F.md5(F.concat_ws("|", F.lit("body"), F.col(c).cast("string"))))
+        fields = exact.unionByName(fps.join(rec.select("entity", "ord"), "entity").select("entity", "ord", F.lit("body").alias("field"), body_key("fp").alias("key")))
+        fields = stage(fields, "link-fields")
+
         # 1. against what was accepted before: one probe of the key tables, one of the bands
-        old = [exact.join(known.withColumnRenamed("entity", "other"), "key").select("entity", "field", "other")] if known else []
+        old = [exact.join(known.select("key"), "key", "left_semi").select("entity")] if known else []
+        near = index = None
         if self.bodies:
             index = reduce(DataFrame.unionByName, self.bodies)
             # per class first: a text that many records share is one row in the joins
-            owner = index.groupBy("fp").agg(F.min("entity").alias("other"))
-            near = links_between(body, index).join(owner.withColumnRenamed("fp", "fp_b"), "fp_b").select(F.col("fp_a").alias("fp"), "other")
-            same = fps.select("fp").distinct().join(owner, "fp")
-            near = near.unionByName(same).groupBy("fp").agg(F.min("other").alias("other")).join(fps, "fp").select("entity", "other")
-            old.append(near.select("entity", F.lit("body").alias("field"), "other"))
-        old = stage(reduce(DataFrame.unionByName, old) if old else exact.select("entity", "field", F.col("entity").alias("other")).where("false"), "link-old")
+            same = fps.select("fp").distinct().join(index.select("fp"), "fp", "left_semi")
+            near = stage(links_between(body, index).unionByName(same.select(F.col("fp").alias("fp_a"), F.col("fp").alias("fp_b"))), "link-near")
+            old.append(fps.join(near.select(F.col("fp_a").alias("fp")), "fp", "left_semi").select("entity"))
+        old = stage((reduce(DataFrame.unionByName, old) if old else exact.select("entity").where("false")).distinct(), "link-old")
 
         # 2. among the records that are left, in their order
-        left = rec.join(old.select("entity").distinct(), "entity", "left_anti").select("entity", "ord")
-        fields = exact.select("entity", "ord", "field", "key").unionByName(fps.join(rec.select("entity", "ord"), "entity").select("entity", "ord", F.lit("body").alias("field"), F.unhex(F.md5(F.concat_ws("|", F.lit("body"), F.col("fp").cast("string")))).alias("key")))
-        fields = fields.join(left.select("entity"), "entity", "left_semi")
-        pairs = near_dup.class_links(body)
-        digest = lambda c: F.unhex(F.md5(F.concat_ws("|", F.lit("body"), F.col(c).cast("string"))))
-        pairs = pairs.select(digest("fp_a").alias("a"), digest("fp_b").alias("b"))
+        pairs = near_dup.class_links(body).select(body_key("fp_a").alias("a"), body_key("fp_b").alias("b"))
         pairs = stage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "link-pairs")
-        new = self._decide(stage(fields, "link-fields"), pairs)
+        new = self._decide(stage(fields.join(old, "entity", "left_anti"), "link-open"), pairs)
 
-        links = stage(old.unionByName(new).select(((F.col("entity") - 1) / 2).cast("bigint").alias("incoming_id"), "field", F.col("other").alias("entity")), "link-links")
-        repeats = links.select("incoming_id").distinct().withColumn("repeat", F.lit(True))
+        repeats = old.unionByName(new).select(((F.col("entity") - 1) / 2).cast("bigint").alias("incoming_id"), F.lit(True).alias("repeat"))
         decisions = rec.select(((F.col("entity") - 1) / 2).cast("bigint").alias("incoming_id")).join(repeats, "incoming_id", "left").withColumn("repeat", F.coalesce("repeat", F.lit(False)))
         decisions = stage(decisions, "link-decisions")
+        links = self._links(decisions, fields, fps, pairs, known, near, index)
 
         # 3. a new segment of what was accepted
         accepted = decisions.where("not repeat").select((F.col("incoming_id") * 2 + 1).alias("entity"))
@@ -134,8 +137,35 @@ class LinkageIndex:
         self.bodies.append(stage(owners.join(sets, "fp").select("entity", "fp", "words", "bands", "sketch", "sketch2"), "link-bodies"))
         return decisions, links
 
+    @staticmethod
+    def _links(decisions: DataFrame, fields: DataFrame, fps: DataFrame, pairs: DataFrame, known: DataFrame | None, near: DataFrame | None, index: DataFrame | None) -> DataFrame:
+        """(incoming_id, field, entity) from each repeat to every entity accepted before it, in every field that agrees."""
+        of = lambda df, repeat: df.join(decisions.where(F.col("repeat") == repeat).select((F.col("incoming_id") * 2 + 1).alias("entity")), "entity", "left_semi")
+        mine = of(fields, True)
+        theirs = of(fields, False).select("key", F.col("entity").alias("other"), F.col("ord").alias("before"))
+        found = [d.where("before < ord").select("entity", "field", "other") for d in (mine.join(theirs, "key"), mine.join(pairs, F.col("key") == F.col("a")).drop("key").join(theirs, F.col("b") == F.col("key")))]
+        if known:
+            found.append(mine.join(known.withColumnRenamed("entity", "other"), "key").select("entity", "field", "other"))
+        if near:
+            owners = index.select(F.col("fp").alias("fp_b"), F.col("entity").alias("other"))
+            found.append(of(fps, True).join(near, F.col("fp") == F.col("fp_a")).join(owners, "fp_b").select("entity", F.lit("body").alias("field"), "other"))
+        return reduce(DataFrame.unionByName, found).distinct().select(((F.col("entity") - 1) / 2).cast("bigint").alias("incoming_id"), "field", F.col("other").alias("entity"))
+
+    def merge(self, links: DataFrame) -> None:
+        """Add the links of a call to the clusters."""
+        edges = links.select((F.col("incoming_id") * 2 + 1).alias("u"), node_of(F.col("entity")).alias("v")).distinct()
+        if self.clusters is None:
+            self.clusters = stage(near_dup.components(edges, "u", "v"), "link-clusters")
+            return
+        for end in ("u", "v"):
+            roots = self.clusters.select(F.col("node").alias(end), "root")
+            edges = edges.join(roots, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        moved = stage(near_dup.components(edges, "u", "v"), "link-moved")
+        kept = self.clusters.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+        self.clusters = stage(kept.select("node", F.coalesce("to", "root").alias("root")).unionByName(moved), "link-clusters")
+
     def _decide(self, fields: DataFrame, pairs: DataFrame) -> DataFrame:
-        """(entity, field, other) of the repeats among records none of which agrees with the index."""
+        """(entity) of the repeats among records none of which agrees with the index."""
         # keys of one record only, and without a linked body, decide nothing
         shared = fields.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").unionByName(pairs.select(F.col("a").alias("key"))).distinct()
         open_ = stage(fields.join(shared, "key", "left_semi"), "link-open")
@@ -146,14 +176,17 @@ class LinkageIndex:
             state = open_.join(first, "key").join(near, "key", "left")
             blocked = F.max((F.col("first") < F.col("ord")) | F.coalesce(F.col("near") < F.col("ord"), F.lit(False)))
             accepted = stage(state.groupBy("entity").agg(blocked.alias("blocked")).where("not blocked").select("entity"), "link-accepted")
-            won = first.join(accepted.withColumnRenamed("entity", "owner"), "owner", "left_semi").select("key", F.col("owner").alias("other"))
-            by_link = won.join(pairs, F.col("key") == F.col("a")).select(F.col("b").alias("key"), "other")
-            killed = won.unionByName(by_link).groupBy("key").agg(F.min("other").alias("other"))
-            repeats = stage(open_.join(accepted, "entity", "left_anti").join(killed, "key").groupBy("entity", "field").agg(F.min("other").alias("other")), "link-repeats")
+            won = first.join(accepted.withColumnRenamed("entity", "owner"), "owner", "left_semi").select("key")
+            killed = won.unionByName(won.join(pairs, F.col("key") == F.col("a")).select(F.col("b").alias("key"))).distinct()
+            repeats = stage(open_.join(accepted, "entity", "left_anti").join(killed, "key", "left_semi").select("entity").distinct(), "link-repeats")
             found.append(repeats)
-            done = accepted.unionByName(repeats.select("entity")).distinct()
-            open_ = stage(open_.join(done, "entity", "left_anti"), "link-open")
-        return reduce(DataFrame.unionByName, found) if found else fields.select("entity", "field", F.col("entity").alias("other")).where("false")
+            open_ = stage(open_.join(accepted.unionByName(repeats), "entity", "left_anti"), "link-open")
+        return reduce(DataFrame.unionByName, found) if found else fields.select("entity").where("false")
+
+
+def node_of(entity: Column) -> Column:
+    """The entity as a node of clusters: posts come before records, so the representative is the cluster's first post where it has one."""
+    return F.when(entity % 2 == 0, entity - (1 << 62)).otherwise(entity)
 
 
 def links_between(probe: DataFrame, index: DataFrame, similarity: float = near_dup.SIMILARITY) -> DataFrame:
@@ -188,7 +221,7 @@ def learned_weights(links: DataFrame, collisions: dict[str, float], steps: int =
 
 def collision_rates(index_keys: DataFrame, bodies: DataFrame) -> dict[str, float]:
     """The chance that two random accepted entities agree in a field, at least one in their number."""
-    n = max(1, index_keys.count())
+    n = max(1, index_keys.select("key").distinct().count())
     b = bodies.agg(F.count("*").alias("n"), F.approx_count_distinct("fp").alias("d")).first()
     return {"number": 1 / n, "hash": 1 / n, "body": max(1, b.n - b.d + 1) / max(1, b.n) ** 2}
 
@@ -217,17 +250,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """incoming_id, kind and id of what it repeats, by_number, by_hash, by_body, score: the sum of the learned weights that agree."""
     index, _, links = _linked(spark, sf_dir)
+    links = stage(links, "link-links")
     kind = F.when(F.col("entity") % 2 == 0, "post").otherwise("incoming").alias("kind")
     return scored_links(index, links).select("incoming_id", kind, F.floor(F.col("entity") / 2).alias("id"), *[f"by_{f}" for f in FIELDS], "score")
 
 
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """incoming_id, kind and id of the representative of its cluster, for each record that repeats another."""
-    _, _, links = _linked(spark, sf_dir)
-    # posts come before records, so the representative is the cluster's first post where it has one
-    node = lambda e: F.when(e % 2 == 0, e - (1 << 62)).otherwise(e)
-    edges = links.select((F.col("incoming_id") * 2 + 1).alias("u"), node(F.col("entity")).alias("v"))
-    roots = near_dup.components(edges, "u", "v").where("node > 0")
+    index, decisions, links = _linked(spark, sf_dir)
+    index.merge(links)
+    roots = index.clusters.where("node > 0")
     root = F.when(F.col("root") < 0, F.col("root") + (1 << 62)).otherwise(F.col("root"))
     roots = roots.select(F.floor(F.col("node") / 2).alias("incoming_id"), F.when(F.col("root") < 0, "post").otherwise("incoming").alias("kind"), F.floor(root / 2).alias("id"))
-    return roots.join(links.select("incoming_id").distinct(), "incoming_id", "left_semi")
+    return roots.join(decisions.where("repeat").select("incoming_id"), "incoming_id", "left_semi")
