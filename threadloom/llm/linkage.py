@@ -32,21 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.common import stage
+from threadloom.functions.text import WIDE, number_of
 from threadloom.llm import near_dup
 
 FIELDS = ("number", "hash", "body")
 
 
-#: Full-width characters that numbers and hashes are written in.
-WIDE = ("０１２３４５６７８９＃．＞：ａｂｃｄｅｆＡＢＣＤＥＦ", "0123456789#.>:abcdefABCDEF")
-
-
-def number_of(c: Column) -> Column:
-    """A post number written in any of the usual ways, as a bigint; else null."""
-    digits = F.regexp_extract(F.trim(F.translate(c, *WIDE)), r"^(?i)(?:(?:no\.?|>>|#)\s*)?0*(\d{1,18})(?:\.0*)?$", 1)
-    return F.when(digits != "", digits).cast("bigint")
-
-
 def hash_of(c: Column) -> Column:
     """A SHA-256 hash written in any of the usual ways (hex digits or base64), as 64 lower-case digits; else null."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.translate(c, *WIDE)), r"^\s*(?:sha-?256\s*[:=\-]?\s*|0x)", ""), r"[\s:\-]", "")
