@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.common import first_by, utc
+from threadloom.common import first_by, moment, utc
 from threadloom.operators.ranking import bump, newest, top_threads
 from threadloom.sources.archive import Archive
 
@@ -39,7 +39,7 @@ def fetch_catalog(archive: Archive, max_time: datetime | str, max_row_read: int
     Threads without a post 1 before the moment are left out. Unordered; a page is sorted by bump_time descending.
     """
     top = top_threads(archive.posts, max_time, max_row_read).select("thread_id", "bump_time", F.col("post_count").alias("estimated_post_count"))
-    first = archive.posts.where((F.col("local_idx") == 1) & (utc("creation_time") < F.lit(str(max_time)).cast("timestamp_ntz")))
+    first = archive.posts.where((F.col("local_idx") == 1) & (utc("creation_time") < moment(max_time)))
     rows = first.join(top, "thread_id")
     return with_first_file(with_places(rows, archive), archive).select(PAGE)
 
@@ -55,7 +55,7 @@ def fetch_catalog_exact(archive: Archive, max_time: datetime | str, max_row_read
 
 def fetch_catalog_paged(posts: DataFrame, max_time: datetime | str, count: int, offset: int) -> DataFrame:
     """(bump_time, post_count, post_id, thread_id, body): a page of threads by bump time over all posts, with the post of the least id."""
-    before = posts.where(utc("creation_time") < F.lit(str(max_time)).cast("timestamp_ntz"))
+    before = posts.where(utc("creation_time") < moment(max_time))
     groups = before.groupBy("thread_id").agg(F.max("creation_time").alias("bump_time"), F.count("*").alias("post_count"), F.min("post_id").alias("post_id"))
     page = groups.orderBy(F.col("bump_time").desc(), F.col("thread_id").desc()).offset(offset).limit(count)
     return page.join(posts.select("post_id", "body"), "post_id").select("bump_time", "post_count", "post_id", "thread_id", "body")

@@ -7,14 +7,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.common import stage, utc
+from threadloom.common import moment, stage, utc
 
 #: Rows looked back over by default, and at most.
 LOOKBACK, LOOKBACK_CAP = 10_000, 250_000
 
 
 def _before(posts: DataFrame, as_of: datetime | str) -> DataFrame:
-    return posts.where(utc("creation_time") < F.lit(str(as_of)).cast("timestamp_ntz"))
+    return posts.where(utc("creation_time") < moment(as_of))
 
 
 def newest(posts: DataFrame, as_of: datetime | str, n: int) -> DataFrame:

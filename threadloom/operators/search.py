@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.common import utc
+from threadloom.common import moment, utc
 from threadloom.functions import text as tx
 from threadloom.functions.timefn import age_since
 from threadloom.operators.catalog import PAGE, with_first_file, with_places
@@ -102,7 +102,7 @@ def ranked(posts: DataFrame, text: str, as_of: datetime | str, config: str = "en
         return terms.combine(ends, one).astype("float64")
 
     docs = documents(posts, config).where(tx.matches(F.col("terms"), query))
-    age = age_since(F.lit(str(as_of)).cast("timestamp_ntz"), utc("creation_time"))
+    age = age_since(moment(as_of), utc("creation_time"))
     docs = docs.withColumn("rank", rank("terms", "_ends"))
     # the day after as_of has age -1: the quotient has no value there
     return docs.withColumn("relevance", F.try_divide(F.col("rank"), 1 + age / (3600 * 24))).drop("terms", "_ends")
