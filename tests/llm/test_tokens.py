@@ -31,18 +31,22 @@ def test_same_as_reference(spark, reference):
     assert counts[0] == counts[1] == 0 and counts[3] == 2
 
 
-def test_small_store(reference, monkeypatch):
-    monkeypatch.setattr(tokens, "STORE_WORDS", 5)
-    e = tokens.Encoder(*tokens.load_merges())
-    for t in TEXTS:
-        assert list(e.encode([t, "more words here now"])[0]) == (reference.encode_ordinary(t) if t else [])
+def test_small_batches(spark, reference, monkeypatch):
+    """Many dictionary batches, replays and outputs give what one does."""
+    for name in ("BATCH_ROWS", "OUT_ROWS", "REPLAY_WORDS"):
+        monkeypatch.setattr(tokens, name, 2)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id string, text string").repartition(2)
+    assert {int(r.doc_id): list(r.ids) for r in tokens.encode_ids(df).collect()} == {i: reference.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
 
 
 def test_ascii_pattern_equals_general():
-    e = tokens.Encoder(*tokens.load_merges())
+    import re
+
+    import regex
+
     for t in TEXTS:
         if t and t.isascii():
-            assert e.ascii.findall(t) == e.any.findall(t)
+            assert re.findall(tokens.ASCII_PATTERN, t) == regex.findall(tokens.WORD_PATTERN, t)
 
 
 def check_packing(rows, sizes, capacity):

@@ -1,10 +1,17 @@
-"""Problem 6: encoding a corpus with a public byte-level BPE by replaying its merges over words.
+"""Problem 6: encoding a corpus with a public byte-level BPE by replaying its merges over the corpus's words.
 
-Each task takes its part of the corpus, finds the distinct words not met before, and replays the
-merge list over all of them at once: an inverted index leads from each pair of adjacent symbols to
-the positions where it stands; a heap gives the pairs in rank order; a merge touches only the
-positions of its pair and their two neighbours. Texts are then put together from the words' ids.
-Nothing is shuffled, and the only thing sent to the executors is the vocabulary, whose size is fixed.
+1. Texts are cut into words and written as dictionary batches: for some thousand texts, the different
+   words and, for each text, the numbers of its words.
+2. The words of all batches are made distinct over the corpus. The merge list is replayed over them: an
+   inverted index leads from each pair of adjacent symbols to the positions where it stands; a heap
+   gives the pairs in rank order; a merge touches only the positions of its pair and their two
+   neighbours. Merges never cross words, so the distinct words are spread over tasks by hash, and each
+   word of the corpus is replayed once.
+3. The words' ids are joined back to the batches (one row for each different word of a batch, not for
+   each word of a text), and each batch puts its texts' ids together.
+
+Shuffled are the distinct words of the batches and the numbers of the words. The only thing sent to the
+executors is the vocabulary, whose size is fixed.
 
 Defined results: a null or empty text gives an empty list. Strings that look like special tokens are
 ordinary text. Repeated rows give repeated results. Extra columns of the input are ignored.
@@ -15,6 +22,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,6 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.common import stage
 from threadloom.llm.batches import parts
 
 #: Fixed value: the public pattern that splits text into words before any merge.
@@ -32,8 +41,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 ASCII_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 
 TOKENIZER_DIR = "/opt/tokenizers"
-#: Words kept per Python worker, and their greatest length; beyond it the store starts anew. Bounds memory only.
-STORE_WORDS, STORE_CHARS = 400_000, 80
+#: Texts of a dictionary batch at most, and bytes of text, about; words replayed together; texts put out together. Memory only.
+BATCH_ROWS, BATCH_BYTES, REPLAY_WORDS, OUT_ROWS = 4096, 6_000_000, 20_000, 1024
 
 
 def byte_symbols() -> dict[int, str]:
@@ -118,61 +127,103 @@ def replay(words: list[str], byte_ids: list[int], merges: dict[int, tuple[int, i
     return out
 
 
-class Encoder:
-    """Encodes texts batch by batch, and keeps the ids of words met before."""
+def cut(texts: list[str | None], any_pattern=regex.compile(WORD_PATTERN), ascii_pattern=re.compile(ASCII_PATTERN)) -> list[list[str]]:
+    """The words of each text."""
+    return [(ascii_pattern if t.isascii() else any_pattern).findall(t) if t else [] for t in texts]
+
+
+def dictionary(words: list[list[str]]) -> tuple[list[str], np.ndarray]:
+    """The different words, and the number of each word of all texts in turn."""
+    number: dict[str, int] = {}
+    for w in words:
+        number.update(dict.fromkeys(w))
+    for i, w in enumerate(number):
+        number[w] = i
+    return list(number), np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int32)
+
 
-    def __init__(self, byte_ids: list[int], merges: dict[int, tuple[int, int]]):
-        self.byte_ids, self.merges = byte_ids, merges
-        self.store: dict[str, tuple[int, ...]] = {}
-        self.any, self.ascii = regex.compile(WORD_PATTERN), re.compile(ASCII_PATTERN)
+def unfold(flat: np.ndarray, sizes: np.ndarray, ids: np.ndarray, ends: np.ndarray, counts_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of each text, ids of all texts in turn) from the words' numbers, words of each text, and the words' ids (ids, ends)."""
+    n_ids = np.diff(ends, prepend=0)
+    per_word = n_ids[flat]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    tokens = np.bincount(owner, per_word, len(sizes)).astype(np.int32)
+    if counts_only:
+        return tokens, np.empty(0, np.int32)
+    step = np.arange(per_word.sum()) - np.repeat(np.cumsum(per_word) - per_word, per_word)
+    return tokens, ids[np.repeat((ends - n_ids)[flat], per_word) + step].astype(np.int32)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(self.ascii if t.isascii() else self.any).findall(t) if t else [] for t in texts]
-        new = [w for w in set().union(*words) if w not in self.store]
-        if len(self.store) + len(new) > STORE_WORDS:
-            self.store = {}
-            new = list(set().union(*words))
-        self.store.update(zip(new, replay(new, self.byte_ids, self.merges)))
-        ids = self.store.__getitem__
-        out = [np.fromiter(chain.from_iterable(map(ids, w)), np.int32) for w in words]
-        for w in new:
-            if len(w) > STORE_CHARS:
-                del self.store[w]
-        return out
 
+def _strings(words: list[str]) -> pa.Array:
+    return pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary())
 
-_ENCODERS: dict[int, Encoder] = {}
 
+def dictionary_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(batch, ids, sizes, flat, words): some thousand texts a row."""
+    id_type, rows, size = docs.schema[id_col].dataType.simpleString(), BATCH_ROWS, BATCH_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(whole, [1], rows, size):
+                words = cut(batch.column(1).to_pylist())
+                distinct, flat = dictionary(words)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                sizes = pa.array(np.fromiter(map(len, words), np.int32, len(words)))
+                key = pa.array([uuid.uuid4().int & (1 << 63) - 1], pa.int64())
+                yield pa.RecordBatch.from_arrays([key, one(batch.column(0)), one(sizes), one(pa.array(flat)), one(_strings(distinct))], names=["batch", "ids", "sizes", "flat", "words"])
+
+    out = f"batch long, ids array<{id_type}>, sizes array<int>, flat array<int>, words array<binary>"
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, out)
 
-def _encoder(shared) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    if id(shared.value) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[id(shared.value)] = Encoder(*shared.value)
-    return _ENCODERS[id(shared.value)]
+
+def replay_words(words: DataFrame, name: str, tokenizer_dir: str) -> DataFrame:
+    """(word, tokens array<int>) of distinct words (word)."""
+    shared, most = words.sparkSession.sparkContext.broadcast(load_merges(name, tokenizer_dir)), REPLAY_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(whole, [0], most):
+                got = replay([w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()], *shared.value)
+                offsets = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                flat = pa.array(np.fromiter(chain.from_iterable(got), np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["word", "tokens"])
+
+    return words.mapInArrow(run, "word binary, tokens array<int>")
 
 
 def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR, counts_only: bool = False) -> DataFrame:
     """(id_col, ids array<int>) of each row; with counts_only (id_col, n_tokens int)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_merges(name, tokenizer_dir))
     id_type = docs.schema[id_col].dataType.simpleString()
+    texts = stage(dictionary_batches(docs, id_col, text_col), "token-batches")
+    words = stage(replay_words(texts.select(F.explode("words").alias("word")).distinct(), name, tokenizer_dir), "token-words")
+    # one row for each different word of a batch meets the words of the corpus
+    met = texts.select("batch", F.posexplode("words").alias("number", "word")).join(words, "word")
+    met = met.groupBy("batch").agg(F.collect_list(F.struct("number", "tokens")).alias("met"))
+    joined = texts.select("batch", "ids", "sizes", "flat").join(met, "batch", "left").select("ids", "sizes", "flat", "met.number", "met.tokens")
+
+    together = OUT_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for whole in batches:
-            for batch in parts(whole, [1], 512):
-                got = encoder.encode(batch.column(1).to_pylist())
-                sizes = np.fromiter(map(len, got), np.int32, len(got))
+        for batch in batches:
+            for ids, sizes, flat, number, tokens in zip(*batch.columns):
+                known, ends = np.empty(0, np.int32), np.zeros(0, np.int64)
+                if number.is_valid and len(number.values):
+                    # the words in the order of their numbers
+                    order = np.argsort(number.values.to_numpy())
+                    tokens = tokens.values.take(pa.array(order))
+                    known, ends = tokens.flatten().to_numpy(), np.cumsum(tokens.value_lengths().to_numpy())
+                n, out = unfold(flat.values.to_numpy(), sizes.values.to_numpy(), known, ends, counts_only)
                 if counts_only:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], names=[id_col, "n_tokens"])
-                else:
-                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                    flat = pa.array(np.concatenate(got) if got else np.empty(0, np.int32), pa.int32())
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=[id_col, "ids"])
+                    yield pa.RecordBatch.from_arrays([ids.values, pa.array(n)], names=[id_col, "n_tokens"])
+                    continue
+                at = np.concatenate([[0], np.cumsum(n)])
+                for a in range(0, len(n), together):
+                    b = min(len(n), a + together)
+                    lists = pa.ListArray.from_arrays(pa.array((at[a : b + 1] - at[a]).astype(np.int32)), pa.array(out[at[a] : at[b]]))
+                    yield pa.RecordBatch.from_arrays([ids.values.slice(a, b - a), lists], names=[id_col, "ids"])
 
     out = f"`{id_col}` {id_type}, " + ("n_tokens int" if counts_only else "ids array<int>")
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, out)
+    return joined.mapInArrow(run, out)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
