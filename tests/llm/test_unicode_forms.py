@@ -46,6 +46,19 @@ def test_is_nfc_and_idempotent(text):
 _CANON = u.Canonical(u.mapping_tables())
 
 
+def test_expressions_equal_arrays(spark, canon):
+    """The plan and the arrays in Python agree, on all kinds of characters, alone and mixed."""
+    import random
+
+    rnd = random.Random(4)
+    alphabet = "aeiou" + "".join(map(chr, [0x301, 0x327, 0x323, 0x302, 0x300, 0x345, 0xE9, 0x1EC7, 0xFB01, 0xFF21, 0xFF76, 0xFF9E, 0xA0, 0x3000, 0x200B, 0x200D, 0x200C, 0xFE0F, 0x1F469, 0x1F4BB, 0x430, 0x43E, 0x438, 0x306, 0x1100, 0x1161, 0x11A8, 0xAC00, 0xD55C, 0x915, 0x94D, 0xA8, 0x344, 0x340, 0x2028, 0x85, 0xAD])) + " \n\t1"
+    texts = [t for p in SAME + APART for t in p] + ["".join(rnd.choices(alphabet, k=rnd.randint(1, 14))) for _ in range(600)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.text_norm for r in u.canonical_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    bad = [(t, got[i], f) for (i, t), f in zip(rows, canon(texts)) if got[i] != f]
+    assert not bad, bad[:5]
+
+
 def test_pairs(spark):
     rows = [(1, "paypal"), (2, "раураl"), (3, "paypal"), (4, "Paypal"), (5, None), (6, ""), (7, "​"), (8, " "), (9, "　"), (10, "pay​pal"), (2, "раураl")]
     df = spark.createDataFrame([(i, t, "l", "r") for i, t in rows], "doc_id long, text string, look string, raw string")

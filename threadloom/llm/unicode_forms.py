@@ -1,10 +1,15 @@
 """Problem 8: one consistent form for texts that look the same.
 
-Texts are exploded to positioned code points and joined with two mapping tables (decompositions and
-look-alike letters, both of a size that Unicode fixes), combining marks are put in the order of their
-class, pairs are recomposed, and the strings are rebuilt. The tables are broadcast; the explode, the
-joins and the sort run as array operations over each Arrow batch, one element per code point, so no
-code point is ever shuffled. Only two digests per document are.
+Texts are exploded to positioned pieces: runs of code points that no mapping table has a row for, and
+single code points with the marks that follow them. A single code point is joined with its form; one
+with marks is exploded again to positioned code points, which are joined with the table of
+decompositions, look-alike letters and classes; marks are put in the order of their class, pairs are
+recomposed, and the strings are rebuilt by position. All of it is built-in expressions. The tables are
+broadcast; their size is fixed by Unicode. Letters with marks are worked out once for all texts; they
+are broadcast where they are few (counted first), else both sides are shuffled.
+
+Texts of printable ASCII have no row in any table: they are their own form and are not exploded.
+`Canonical` does the same over arrays in Python, for text that is in Python already; tests compare both.
 
 What is made equal: full-width, half-width and other presentation forms; composed and decomposed
 accents; invisible characters (removed); kinds of space (one space); letters of other scripts with the
@@ -17,18 +22,16 @@ case of p8_found; equal texts are none either. Repeated rows of one doc_id count
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.common import stage
-from threadloom.llm.batches import parts
+from threadloom.llm.batches import salted
 
 #: Letters of other scripts and the Latin letters of the same shape.
 LOOKALIKES = {
@@ -74,6 +77,7 @@ def _decompose(ch: str) -> str:
     return "".join(_decompose(chr(int(x, 16))) for x in d.split())
 
 
+@functools.cache
 def mapping_tables() -> dict[str, np.ndarray]:
     """The tables, made by rule from the Unicode database: code -> codes, code -> class, pair -> code."""
     alike = {a: b for k, v in LOOKALIKES.items() for a, b in zip(k, v)}
@@ -231,51 +235,153 @@ class Canonical:
         return out
 
 
-_WORKER: list[tuple[int, Canonical]] = []
+#: Code points whose joiners are kept: emoji and signs, scripts whose letters a joiner shapes.
+_SHAPED = "\\x{1F000}-\\x{1FFFF}\\x{2600}-\\x{27BF}\\x{600}-\\x{DFF}"
+#: Noncharacters that stand for kept joiners until the end.
+_KEPT = {"\u200c": "\ufdd0", "\u200d": "\ufdd1"}
+_PLAIN = r"\t-\r -~"
+#: Letters with marks, at some 40 bytes, that are sent to every task; beyond it they are joined by a shuffle.
+BROADCAST_CLUSTERS = 500_000
+
+
+def _class(codes: list[int]) -> str:
+    """The inside of a character class of a pattern."""
+    out, start, last = [], None, None
+    for c in [*sorted(codes), None]:
+        if start is not None and (c is None or c != last + 1):
+            out.append(f"\\x{{{start:X}}}-\\x{{{last:X}}}" if last > start else f"\\x{{{start:X}}}")
+            start = None
+        start = c if start is None else start
+        last = c
+    return "".join(out)
+
+
+@functools.cache
+def _rules() -> dict:
+    """The mapping tables as rows, and the classes of code points that the patterns need."""
+    t = mapping_tables()
+    canon = Canonical(t)
+    src = t["src"].tolist()
+    ends = np.cumsum(t["count"])
+    to = {c: "".join(map(chr, t["target"][e - n : e].tolist())) for c, n, e in zip(src, t["count"].tolist(), ends.tolist())}
+    ccc = dict(t["marks"].tolist())
+    syllable = lambda c: 0xAC00 <= c <= 0xD7A3
+    gone = [c for c in src if not to[c]]
+    marks = sorted({*ccc, *(c for c in src if to[c] and ord(to[c][0]) in ccc)} - set(gone))
+    kept = [c for c in src if to[c] and c not in set(marks) and not syllable(c)]
+    forms = [(chr(c), f) for c, f in zip(kept, canon([chr(c) for c in kept])) if f != chr(c)] + [(b, a) for a, b in _KEPT.items()]
+    # syllables are composed of their parts as a whole
+    hangul = []
+    for lead in range(0x1100, 0x1113):
+        for vowel in range(0x1161, 0x1176):
+            lv = 0xAC00 + ((lead - 0x1100) * 21 + vowel - 0x1161) * 28
+            hangul += [(chr(lead) + chr(vowel), chr(lv))] + [(chr(lead) + chr(vowel) + chr(0x11A7 + x), chr(lv + x)) for x in range(1, 28)] + [(chr(lv) + chr(0x11A7 + x), chr(lv + x)) for x in range(1, 28)]
+    codes = {c: to[c] for c in src if to[c] and not syllable(c)} | {c: chr(c) for c in marks if c not in to} | {ord(b): a for a, b in _KEPT.items()}
+    return {
+        "forms": forms + hangul,
+        "codes": [(chr(c), [(x, ccc.get(ord(x), 0)) for x in s]) for c, s in codes.items()],
+        "pairs": [(chr(k >> 21) + chr(k & 0x1FFFFF), chr(v)) for k, v in zip(t["pair"].tolist(), t["pair_to"].tolist())],
+        "gone": _class(gone), "marks": _class(marks), "active": _class([ord(a) for a, _ in forms] + marks + [*range(0x1100, 0x1200)]),
+    }
+
+
+def _pieces(texts: DataFrame) -> DataFrame:
+    """(key, pos, piece) of texts (key, _text): runs without a row in any table, else one code point or syllable and its marks."""
+    r = _rules()
+    text = F.col("_text")
+    for joiner, stand_in in _KEPT.items():
+        text = F.regexp_replace(text, f"(?<=[{_SHAPED}]\ufe0f?){joiner}", stand_in)
+    text = F.regexp_replace(text, f"(?=[^{_PLAIN}])[{r['gone']}]", "")
+    hangul = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]"
+    pattern = f"[{_PLAIN}]+(?![{r['marks']}])|(?:{hangul})|[^{r['active']}{_PLAIN}\\x{{AC00}}-\\x{{D7A3}}]+(?![{r['marks']}])|(?s:.)[{r['marks']}]*"
+    return texts.select("key", F.posexplode(F.regexp_extract_all(text, F.lit(pattern), 0)).alias("pos", "piece"))
+
+
+def _marked() -> Column:
+    return F.right("piece", F.lit(1)).rlike(f"(?=[^{_PLAIN}])[{_rules()['marks']}]")
+
+
+def _clusters(pieces: DataFrame) -> DataFrame:
+    """(piece, form) of the different pieces with marks: positioned code points, joined, ordered, recomposed, rebuilt."""
+    spark, r = pieces.sparkSession, _rules()
+    codes = spark.createDataFrame(r["codes"], "code string, to array<struct<c: string, k: int>>")
+    points = pieces.where(_marked()).select("piece").distinct().select("piece", F.posexplode(F.regexp_extract_all("piece", F.lit("(?s:.)"), 0)).alias("i", "code"))
+    points = points.join(F.broadcast(codes), "code", "left")
+    points = points.select("piece", "i", F.posexplode(F.coalesce("to", F.array(F.struct(F.col("code").alias("c"), F.lit(0).alias("k"))))).alias("j", "p")).select("piece", "i", "j", "p.c", "p.k")
+    base = F.sum((F.col("k") == 0).cast("int")).over(Window.partitionBy("piece").orderBy("i", "j"))
+    letters = points.withColumn("base", base).groupBy("piece", "base").agg(F.array_sort(F.collect_list(F.struct("k", "i", "j", "c"))).alias("m"))
+    pairs = F.create_map(*[F.lit(x) for kv in r["pairs"] for x in kv])
+    start = F.struct(F.col("m")[0]["c"].alias("base"), F.lit(0).alias("last"), F.array().cast("array<string>").alias("rest"))
+
+    def step(acc: Column, m: Column) -> Column:
+        to = pairs[F.concat(acc["base"], m["c"])]
+        joins = to.isNotNull() & ((acc["last"] == 0) | (acc["last"] < m["k"]))
+        keep = F.struct(acc["base"].alias("base"), m["k"].alias("last"), F.concat(acc["rest"], F.array(m["c"])).alias("rest"))
+        return F.when(joins, F.struct(to.alias("base"), acc["last"].alias("last"), acc["rest"].alias("rest"))).otherwise(keep)
+
+    # marks without a letter before them stay as they are, in order
+    whole = F.aggregate(F.slice("m", 2, F.size("m")), start, step, lambda acc: F.concat(acc["base"], F.array_join(acc["rest"], "")))
+    plain = F.array_join(F.transform("m", lambda x: x["c"]), "")
+    letters = letters.select("piece", "base", F.when(F.col("base") > 0, whole).otherwise(plain).alias("s"))
+    return letters.groupBy("piece").agg(_joined("base", "s").alias("form"))
+
+
+def _joined(at: str, s: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, s))), lambda x: x[s]), "")
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _is_plain() -> Column:
+    return ~F.coalesce(F.col("_text").rlike(f"[^{_PLAIN}]"), F.lit(False))
 
 
-def _canonical(shared) -> Canonical:
-    if not _WORKER or _WORKER[0][0] != id(shared.value):
-        _WORKER[:] = [(id(shared.value), Canonical(shared.value))]
-    return _WORKER[0][1]
+def forms_of(docs: DataFrame) -> DataFrame:
+    """(key, text_norm) of the different texts (_text) that are not printable ASCII; key is a digest of the text as it is."""
+    texts = docs.where(~_is_plain()).groupBy(_key(F.col("_text")).alias("key")).agg(F.first("_text").alias("_text"))
+    pieces = _pieces(texts)
+    clusters = stage(_clusters(pieces), "p8-clusters")
+    few = F.broadcast if clusters.count() <= BROADCAST_CLUSTERS else (lambda df: df)
+    known = docs.sparkSession.createDataFrame(_rules()["forms"], "piece string, form string")
+    single = pieces.where(~_marked()).join(F.broadcast(known), "piece", "left").select("key", "pos", F.coalesce("form", "piece").alias("s"))
+    several = pieces.where(_marked()).join(few(clusters), "piece").select("key", "pos", F.col("form").alias("s"))
+    rebuilt = single.unionByName(several).groupBy("key").agg(_joined("pos", "s").alias("text_norm"))
+    # a text of invisible characters only has no piece
+    return texts.select("key").join(rebuilt, "key", "left").select("key", F.coalesce("text_norm", F.lit("")).alias("text_norm"))
 
 
 def canonical_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, text_norm); with digests (id, look, raw): 128-bit digests of the form and of the text as it is, null for texts without a visible character."""
-    shared = docs.sparkSession.sparkContext.broadcast(mapping_tables())
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = _canonical(shared)
-        for whole in batches:
-            for batch in parts(whole, [1], 512):
-                texts = batch.column(1).to_pylist()
-                forms = canon(texts)
-                if digests:
-                    pair = [(xxhash.xxh3_128_digest(f.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))) if f and not f.isspace() else (None, None) for f, t in zip(forms, texts)]
-                    look, raw = zip(*pair) if pair else ((), ())
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(look, pa.binary()), pa.array(raw, pa.binary())], names=[id_col, "look", "raw"])
-                else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], names=[id_col, "text_norm"])
-
-    out = f"`{id_col}` {id_type}, " + ("look binary, raw binary" if digests else "text_norm string")
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, out)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    # texts are read again for the result, so that only digests and forms are shuffled
+    forms = forms_of(rows)
+    if digests:
+        form = lambda c: F.when(~F.col(c).rlike(r"^[\s\x{85}\x{2028}\x{2029}]*$"), _key(F.col(c)))
+        same = rows.where(_is_plain()).select("_id", form("_text").alias("look"), form("_text").alias("raw"))
+        looks = forms.select("key", form("text_norm").alias("look"))
+        other = rows.where(~_is_plain()).select("_id", _key(F.col("_text")).alias("key")).join(looks, "key")
+        out = same.unionByName(other.select("_id", "look", F.when(F.col("look").isNotNull(), F.col("key")).alias("raw")))
+        return out.withColumnRenamed("_id", id_col)
+    same = rows.where(_is_plain()).select("_id", F.col("_text").alias("text_norm"))
+    other = rows.where(~_is_plain()).select("_id", _key(F.col("_text")).alias("key")).join(forms, "key").select("_id", "text_norm")
+    return same.unionByName(other).withColumnRenamed("_id", id_col)
 
 
 def lookalike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of documents whose texts look the same and differ in characters.
 
     Groups are joined by digest, first as classes of equal texts, so copies of one text never meet
-    each other; only groups with two different texts or more go on.
+    each other; only groups with two different texts or more go on. Groups of many documents are salted.
     """
     seen = stage(canonical_text(docs, id_col, text_col, digests=True).where("look is not null"), "p8-digests")
     classes = seen.groupBy("look", "raw").agg(F.lit(1).alias("one"))
     mixed = classes.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
     members = seen.join(mixed, "look", "left_semi").select("look", "raw", F.col(id_col).alias("id")).distinct()
-    a = members.select("look", F.col("raw").alias("raw_a"), F.col("id").alias("a"))
-    b = members.select("look", F.col("raw").alias("raw_b"), F.col("id").alias("b"))
-    pairs = a.join(b, "look").where("raw_a < raw_b and a <> b")
-    return pairs.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b")).distinct()
+    a, b = salted(members, "look", ["raw", "id"])
+    pairs = a.join(b, ["look", "salt"]).where("raw_a < raw_b and id_a <> id_b")
+    return pairs.select(F.least("id_a", "id_b").alias(f"{id_col}_a"), F.greatest("id_a", "id_b").alias(f"{id_col}_b")).distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
