@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from threadloom.llm import batches
 from threadloom.llm import near_dup as n
 
 VOCABULARY = [f"word{i}" for i in range(900)]
@@ -49,6 +50,27 @@ def test_equals_brute_force(spark):
     assert found(spark, rows[:1]) == [] and found(spark, [(1, None)]) == []
 
 
+def test_plans(spark, monkeypatch):
+    """More places a band and more bands for more texts, with the same chance to meet a pair; and the same pairs."""
+    assert n.band_plan(0) == n.band_plan(2_000_000) == (n.BANDS, n.ROWS)
+    for texts in (2_000_001, 16_000_001, 10**9):
+        bands, rows = n.band_plan(texts)
+        assert rows > n.ROWS and abs((1 - n.SIMILARITY**rows) ** bands - (1 - n.SIMILARITY**n.ROWS) ** n.BANDS) < 0.001
+    monkeypatch.setattr(n, "FIRST_PLAN", 1)
+    rows = texts()
+    assert n.band_plan(len(rows))[1] > n.ROWS
+    assert set(found(spark, rows)) == brute(rows)
+
+
+def test_large_classes_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(batches, "GROUP_PART", 3)
+    base, other = texts()[0][1], " ".join(f"w{i}" for i in range(50))
+    near = " ".join([*other.split()[:-2], "x", "y"])
+    rows = [(i, base) for i in range(20)] + [(100 + i, other) for i in range(11)] + [(200 + i, near) for i in range(7)]
+    got = found(spark, rows)
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
 def test_signature_estimates_similarity():
     rnd = np.random.default_rng(1)
     for share in (0.3, 0.65, 0.9):

@@ -11,7 +11,10 @@ offers j + r at its j-th place. The rounds run over all words of a batch togethe
 as soon as no later round can lower any place (early stopping), after some twenty rounds of 180.
 
 With 36 bands of 5 places a pair of similarity 0.65 is met with probability 0.988, of 0.70 with 0.999,
-of 0.75 with 0.9998; the sketch (at most 36 of 128 bits apart) keeps 0.999 of pairs at 0.65.
+of 0.75 with 0.9998; the sketch (at most 36 of 128 bits apart) keeps 0.999 of pairs at 0.65. Unrelated
+texts share some words, so they meet by chance, and the more often the more texts there are; `band_plan`
+therefore takes one place more a band, and as many more bands as keep these probabilities, for every
+eightfold of texts. The number of tasks follows the number of band rows (BAND_ROWS each).
 
 Defined results: null, empty and short texts (fewer than `least_words` different words) have no
 partner. Rows that repeat an id count once (same id and word set). Order and repetition of words do not
@@ -21,6 +24,7 @@ matter. No bucket, partner or candidate is capped.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,11 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.common import stage
-from threadloom.llm.batches import parts
+from threadloom.llm.batches import parts, salted
 
 SIMILARITY, LEAST_WORDS = 0.65, 40
 BANDS, ROWS = 36, 5
 PLACES = BANDS * ROWS
+#: Texts up to which a band has ROWS places; each eightfold of them takes one more.
+FIRST_PLAN = 2_000_000
+#: Band rows of one task of the join, on average.
+BAND_ROWS = 250_000
 SKETCH_BITS, SKETCH_APART = 128, 36
 #: Bytes kept of each word's hash for verification: two words of one pair collide with odds of 1 in 10^8.
 WORD_BYTES = 5
@@ -43,6 +51,13 @@ WORD_BYTES = 5
 _TAG, _WORD = re.compile(r"<[^>]*>"), re.compile(r"[^\W_]+")
 
 
+def band_plan(texts: int) -> tuple[int, int]:
+    """(bands, places a band) for so many texts: as likely to meet a pair at the similarity as BANDS bands of ROWS places are."""
+    rows = ROWS + max(0, math.ceil(math.log(max(1, texts) / FIRST_PLAN, 8) - 1e-9))
+    missed = BANDS * math.log1p(-(SIMILARITY**ROWS))
+    return math.ceil(missed / math.log1p(-(SIMILARITY**rows)) - 1e-9), rows
+
+
 def word_set(body: str) -> set[str]:
     """Different words: tags become spaces, entities are decoded, letters lower; runs of letters or digits."""
     text = _TAG.sub(" ", body) if "<" in body else body
@@ -121,13 +136,13 @@ class _Words(dict):
 _OUT = "fp long, words binary, bands array<long>, sketch long, sketch2 long"
 
 
-def features(df: DataFrame, id_col: str, body_col: str, least_words: int = LEAST_WORDS, group_col: str | None = None) -> DataFrame:
+def features(df: DataFrame, id_col: str, body_col: str, least_words: int = LEAST_WORDS, group_col: str | None = None, plan: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """id (and group), fp of every record with enough words; words, bands and sketch at the first of its word set (and group) in the task.
 
     fp is a 64-bit digest of the word set, with the group mixed in, so records of different groups never
     share a class or a band.
     """
-    group = [group_col] if group_col else []
+    group, (n_bands, n_rows) = [group_col] if group_col else [], plan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _Words(), set()
@@ -148,17 +163,17 @@ def features(df: DataFrame, id_col: str, body_col: str, least_words: int = LEAST
                     fps.append(digest)
                     first.append(new)
                 fp = np.frombuffer(b"".join(fps), np.int64)
-                bands, sketch = np.empty((0, BANDS), np.int64), np.zeros((1, 2), np.int64)
+                bands, sketch = np.empty((0, n_bands), np.int64), np.zeros((1, 2), np.int64)
                 if sets:
-                    sig = signatures(np.concatenate([h for h, _ in sets]), np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets]), len(sets))
-                    bands, sketch = bands_of(sig), sketch_of(sig)
+                    sig = signatures(np.concatenate([h for h, _ in sets]), np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets]), len(sets), n_bands * n_rows)
+                    bands, sketch = bands_of(sig, n_rows), sketch_of(sig)
                     if group:
                         salt = _mix(np.array([g & 0xFFFFFFFFFFFFFFFF for _, g in sets], np.uint64))
                         bands = (bands.view(np.uint64) ^ salt[:, None]).view(np.int64)
                 packed = iter([np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes() for h, _ in sets])
                 first = np.array(first, bool)
                 at = np.cumsum(first) - 1
-                band_sizes = np.where(first, BANDS, 0)
+                band_sizes = np.where(first, n_bands, 0)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(band_sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).take(pa.array(rows, pa.int32())) for c in range(batch.num_columns - 1)]
@@ -195,7 +210,8 @@ def overlap_at_least(similarity: float):
 def class_links(feat: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(fp_a, fp_b), fp_a < fp_b: all links between different word sets; feat is a staged table of features()."""
     rows = feat.where("words is not null").select("fp", "sketch", "sketch2", F.explode("bands").alias("band"))
-    rows = rows.repartition(F.col("band")).dropDuplicates(["band", "fp"])
+    tasks = max(int(feat.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BAND_ROWS))
+    rows = rows.repartition(tasks, F.col("band")).dropDuplicates(["band", "fp"])
     a = rows.select("band", F.col("fp").alias("fp_a"), F.col("sketch").alias("sketch_a"), F.col("sketch2").alias("sketch2_a"))
     b = rows.select("band", F.col("fp").alias("fp_b"), F.col("sketch").alias("sketch_b"), F.col("sketch2").alias("sketch2_b"))
     met = a.join(b, "band").where("fp_a < fp_b").where(F.expr("bit_count(sketch_a ^ sketch_b) + bit_count(sketch2_a ^ sketch2_b)") <= SKETCH_APART)
@@ -209,12 +225,16 @@ def class_links(feat: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def member_pairs(members: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
-    """All pairs of ids: within each class, and between linked classes. Its size is that of the result."""
+    """All pairs of ids: within each class, and between linked classes. Its size is that of the result; classes of many members are salted."""
     m = members.select(F.col(id_col).alias("id"), "fp").distinct()
     shared = m.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    copies = m.join(shared, "fp", "left_semi")
-    within = copies.select("fp", F.col("id").alias("a")).join(copies.select("fp", F.col("id").alias("b")), "fp").where("a < b").select("a", "b")
-    between = links.join(m.select(F.col("fp").alias("fp_a"), F.col("id").alias("x")), "fp_a").join(m.select(F.col("fp").alias("fp_b"), F.col("id").alias("y")), "fp_b")
+    a, b = salted(m.join(shared, "fp", "left_semi"), "fp", ["id"])
+    within = a.join(b, ["fp", "salt"]).where("id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    # a link of two classes: its first class in parts, each with the whole of the other
+    a, _ = salted(m, "fp", ["id"])
+    sizes = a.groupBy("fp").agg(F.max("salt").alias("last"))
+    spread = links.join(sizes.select(F.col("fp").alias("fp_a"), "last"), "fp_a").select("fp_a", "fp_b", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("salt"))
+    between = spread.join(m.select(F.col("fp").alias("fp_b"), F.col("id").alias("y")), "fp_b").join(a.select(F.col("fp").alias("fp_a"), "salt", F.col("id_a").alias("x")), ["fp_a", "salt"])
     between = between.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return within.unionByName(between).select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))
 
@@ -274,7 +294,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str, body_col: str, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members: id, fp) and (links between classes: fp_a, fp_b)."""
-    feat = stage(features(df, id_col, body_col, least_words), "near-dup")
+    feat = stage(features(df, id_col, body_col, least_words, plan=band_plan(df.count())), "near-dup")
     return feat.select(id_col, "fp"), class_links(feat, similarity)
 
 
