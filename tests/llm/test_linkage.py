@@ -142,7 +142,7 @@ def test_reopened_index_goes_on(spark, monkeypatch):
             again = linkage.LinkageIndex.open(spark, index.path)
             assert {r.incoming_id for r in again.process(part)[0].where("repeat").collect()} == {i for i in got if 40 <= i < 80}  # decided before: kept
             index = again
-    assert got == want and len(index.state["segments"]) == 3
+    assert got == want and len(index.state["segments"]) == 4
     index.vacuum()
     assert len(list_names(spark, f"{index.path}/keys")) == len(index.state["segments"])
     assert linkage.LinkageIndex.open(spark, index.path).table("seen").count() == len(incoming)

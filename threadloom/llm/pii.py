@@ -7,10 +7,14 @@ each occur in several names of the table.
 
 Replacement: every entity gets a surrogate made from a keyed digest of its canonical form, so one entity
 has one surrogate wherever and however it is written (coreference), of the same type, and with the
-writing kept: case, script, digits and separators, disguise, the ending of a given name (which carries
-its gender). Surrogates of different entities are compared over the whole corpus; where two agree, all
-but the first draw again until every one is distinct. Texts come out as `[type surrogate]` in place of
-the entity with all else unchanged.
+writing kept: case, script, digits and separators, disguise, and for a given name the gender that its
+ending tells (`gender_of`; the table of names has none). Nothing of the entity stays but what says its
+kind: country code and kind of a phone number; street word, direction and unit word of an address; title
+of a name. No digit and no letter of a number or initial is drawn again. Surrogates of different entities
+are compared over the whole corpus; where two agree, all but the first draw again until every one is
+distinct; after WIDEN draws they get longer, so this ends however many entities share a format. But for
+such collisions a surrogate depends on key and entity only. Texts come out as `[type surrogate]` in place
+of the entity with all else unchanged.
 
 Defined results: null stays null and empty stays empty. A full name inside a mail address or an address
 is part of it and no person_name. Repeated rows of a post give one row each in p5_redacted, and one row
@@ -22,14 +26,17 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.common import stage
+from threadloom.llm.batches import parts
 
 FIELDS = ("body", "email", "name")
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
@@ -43,6 +50,7 @@ ID_WORDS = (
     r"|driv(?:er|ing)(?:'|’|&#39;|&#x27;|&apos;)?s?\s+licen[cs]e(?:\s+(?:number|no\.?))?|licen[cs]e\s+(?:number|no\.?)|national\s+(?:id(?:entity)?|insurance)(?:\s+card)?(?:\s+(?:number|no\.?))?"
     r"|(?:personal\s+)?identity\s+(?:number|no\.?|card)(?:\s+(?:number|no\.?))?|personal\s+(?:id|number)(?:\s+(?:number|no\.?))?|id\s+card(?:\s+(?:number|no\.?))?|nino|identification\s+number"
 )
+_STREET_SET, _DIRECTION_SET = set(STREET_WORDS.split("|")), set(DIRECTIONS.split("|"))
 #: Words before a number that say it is something else.
 OTHER_NUMBERS = r"serial|part|invoice|build|ticket|unix|time|order|version|post|item|model|batch|sku|ref|reference|issue|bug|commit|isbn|rev|revision|tracking|id"
 PHONE_WORDS = r"tel|phone|mobile|cell|call|text|ring|ringing|number|reach|under|owns|sms|whatsapp|fax"
@@ -206,13 +214,36 @@ class Detector:
         return n[1:] if re.fullmatch(r"1[2-9]\d{9}", n) else n
 
 
+#: Endings of given names that mostly women have; any other ending counts as one of a man.
+FEMALE_ENDINGS = ("a", "e", "ie", "ine", "elle", "een", "wen", "lyn", "beth", "а", "я")
+#: Parts of made-up words by script: onsets, vowels, codas, endings of women's and of men's given names.
+SYLLABLES = {
+    "latin": ("b c d f g h j k l m n p r s t v w".split(), "a e i o u".split(), "l n r s t m".split(), ("ia", "ina", "elle"), ("o", "an", "us")),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х ц".split(), "а е и о у".split(), "л н р с т м".split(), ("ия", "ина", "ела"), ("ор", "ан", "ус")),
+    "greek": ("β γ δ ζ θ κ λ μ ν ξ π ρ σ τ φ χ ψ".split(), "α ε ι ο υ".split(), "λ ν ρ ς ν ς".split(), ("ία", "ινα", "ελη"), ("ος", "ης", "ας")),
+}
+UNIT_WORDS = {"flat", "apt", "apartment", "unit", "suite"}
+TITLE = re.compile(r"(?:dr|mr|mrs|ms|prof)\.? ", re.I)
+#: Draws of one length before surrogates get longer.
+WIDEN = 16
+
+
+def script_of(word: str) -> str:
+    c = word[:1].lower()
+    return "cyrillic" if "\u0400" <= c <= "\u052f" else "greek" if "\u0370" <= c <= "\u03ff" else "latin"
+
+
+def gender_of(given: str) -> str:
+    return "f" if given.lower().endswith(FEMALE_ENDINGS) else "m"
+
+
 class Surrogates:
     """Keyed surrogates. `draw` counts how often the entity had to draw again."""
 
-    ONSETS, VOWELS, CODAS = "b c d f g h j k l m n p r s t v w".split(), "a e i o u".split(), "l n r s t m".split()
-
-    def __init__(self, key: bytes, names: NameParts):
-        self.key, self.names = key, names
+    def __init__(self, key: bytes):
+        if not key:
+            raise ValueError("surrogates need a key")
+        self.key = key
 
     def numbers(self, kind: str, form: str, draw: int) -> Iterator[int]:
         block = 0
@@ -220,62 +251,98 @@ class Surrogates:
             yield from hmac.new(self.key, f"{kind}\0{form}\0{draw}\0{block}".encode(), hashlib.sha256).digest()
             block += 1
 
-    def word(self, rnd: Iterator[int], syllables: int) -> str:
-        return "".join(self.ONSETS[next(rnd) % 17] + self.VOWELS[next(rnd) % 5] for _ in range(syllables)) + self.CODAS[next(rnd) % 6]
+    @staticmethod
+    def other(rnd: Iterator[int], old: str, among: str) -> str:
+        """One of the characters that is not the old one."""
+        among = among.replace(old, "")
+        return among[next(rnd) % len(among)]
+
+    def other_char(self, rnd: Iterator[int], c: str) -> str:
+        if c.isdigit():
+            return self.other(rnd, c, "0123456789" if c == "0" else "123456789")
+        return self.other(rnd, c, "".join(SYLLABLES[script_of(c)][0]))
+
+    def word(self, rnd: Iterator[int], syllables: int, old: str = "") -> str:
+        onsets, vowels, codas, *_ = SYLLABLES[script_of(old)]
+        while True:
+            new = "".join(onsets[next(rnd) % 17] + vowels[next(rnd) % 5] for _ in range(syllables)) + codas[next(rnd) % 6]
+            if new != old:
+                return new
 
     def plain(self, kind: str, form: str, draw: int) -> str:
         """The surrogate in its canonical form: what must be distinct over the corpus."""
-        rnd = self.numbers(kind, form, draw)
-        if kind in ("phone", "id_number"):
-            # the leading digits say country and kind of number; they stay, as the format does
-            keep = len(form) - min(7, sum(c.isdigit() for c in form))
-            return "".join(c if i < keep or not c.isdigit() else str(next(rnd) % 10) for i, c in enumerate(form))
+        rnd, more = self.numbers(kind, form, draw), draw // WIDEN
+        if kind == "phone":
+            # what says country and kind stays: 0 and the digit after it, or a country code; area codes of ten digits do not
+            keep = 0 if len(form) == 10 and form[0] in "23456789" or len(form) < 9 else 2
+            new = "".join(c if i < keep else self.other(rnd, c, "23456789" if not keep and len(form) == 10 and i in (0, 3) else "0123456789") for i, c in enumerate(form))
+            return new + "".join(str(next(rnd) % 10) for _ in range(more))
+        if kind == "id_number":
+            return "".join(self.other_char(rnd, c) for c in form) + "".join(str(next(rnd) % 10) for _ in range(more))
         if kind == "email":
-            return f"{self.word(rnd, 3)}{next(rnd) * 256 + next(rnd)}@{self.word(rnd, 2)}.example"
+            return f"{self.word(rnd, 3 + more)}{next(rnd) * 256 + next(rnd)}@{self.word(rnd, 2)}.example"
         if kind == "street_address":
-            return " ".join(str(next(rnd) % 9 + 1) + "".join(str(next(rnd) % 10) for _ in w[1:]) if w.isdigit() else self.word(rnd, 3) if self.names.family[w] else w for w in form.split())
+            words = form.split()
+            kept = self.kept_of_address(words)
+            return " ".join(w if i in kept else self.word(rnd, 3 + more, w) if w.isalpha() and len(w) > 1 else "".join(self.other_char(rnd, c) if c.isalnum() else c for c in w) for i, w in enumerate(words))
         given, _, family = form.partition(" ")
-        tail = given[-2:] if len(given) > 3 else ""
-        first = given[0] if len(given) == 1 else self.word(rnd, 2)[:-1] + self.CODAS[next(rnd) % 6] + tail
-        return f"{first} {'-'.join(self.word(rnd, 3) for _ in family.split('-'))}"
+        if len(given) == 1:
+            first = self.other_char(rnd, given)
+        else:
+            endings = SYLLABLES[script_of(given)][3 if gender_of(given) == "f" else 4]
+            first = self.word(rnd, 2, given)[:-1] + SYLLABLES[script_of(given)][2][next(rnd) % 6] + endings[next(rnd) % 3]
+        return f"{first} {'-'.join(self.word(rnd, 3 + more, w) for w in family.split('-'))}"
+
+    @staticmethod
+    def kept_of_address(words: list[str]) -> set[int]:
+        """Places of the words that stay: the street word (the last one), a direction before a name, unit words."""
+        types = [i for i, w in enumerate(words) if w in _STREET_SET]
+        last = types[-1] if types else len(words)
+        kept = {i for i, w in enumerate(words) if i == last or w in UNIT_WORDS}
+        number = next((i for i, w in enumerate(words) if w[0].isdigit() and (i == 0 or words[i - 1] not in UNIT_WORDS)), 0)
+        if number + 2 < last and words[number + 1] in _DIRECTION_SET:
+            kept.add(number + 1)
+        return kept
 
     def write(self, text: str, kind: str, form: str, draw: int) -> str:
         """The surrogate in the writing of the text it replaces."""
-        plain = self.plain(kind, form, draw)
+        plain, more = self.plain(kind, form, draw), draw // WIDEN
         if kind in ("phone", "id_number"):
-            new = list(plain)[-7:] if kind == "phone" else list(plain)
+            plain, tail = (plain[:-more], plain[-more:]) if more else (plain, "")
+            # a number within the United Kingdom may be written with its country in place of the 0
+            new = list(plain[1:] if kind == "phone" and len(plain) == 11 and plain[0] == "0" else plain)
             out, at = [], len(new)
-            for token in reversed(re.findall(rf"{'|'.join(DIGIT_WORDS)}|.", text, re.I | re.S)):
+            for token in reversed(re.findall(rf"{'|'.join(DIGIT_WORDS)}|.", text, re.I | re.S) if kind == "phone" else list(text)):
                 word = DIGIT_WORDS.get(token.lower())
                 if at and (word or token.isalnum()):
                     at -= 1
-                    token = next(w for w, d in DIGIT_WORDS.items() if d == new[at]) if word and new[at].isdigit() else new[at].upper() if token.isupper() else new[at]
+                    token = next(w for w, d in DIGIT_WORDS.items() if d == new[at]) if word else new[at].upper() if token.isupper() else new[at]
                 out.append(token)
-            return "".join(reversed(out))
+            return "".join(reversed(out)) + tail
         if kind == "email":
             new_local, new_host = plain.split("@")
             m = re.search(rf"{_AT}|\s+at\s+", text, re.I)
             dot = re.search(rf"{_DOT}", text[m.end() :], re.I) if m else None
             out = f"{new_local}{m[0]}{new_host.replace('.', dot[0])}" if m and dot else plain
-        elif kind == "street_address":
+            return out.upper() if text.isupper() else out
+        if kind == "street_address":
             new = iter(plain.split())
-            out = re.sub(r"\w+", lambda w: self.cased(w[0], next(new, w[0])), text)
-            return out
-        else:
-            first, _, family = plain.partition(" ")
-            swap = re.match(r"[^\W\d_]+(?:-[^\W\d_]+)?,", text)
-            words = (family.split("-") + [first]) if swap else ([first] + family.split("-"))
-            tokens = re.findall(r"[^\W\d_]+", text)
-            skip = len(tokens) - len(words)
-            title = 0 if swap or not re.match(r"(?:dr|mr|mrs|ms|prof)\.? ", text, re.I) else 1
-            plan = words if swap else [None] * title + words[:1] + [None] * (skip - title) + words[1:]
-            new = iter(plan + [None] * len(tokens))
-            return re.sub(r"[^\W\d_]+", lambda w: w[0] if (x := next(new)) is None else self.cased(w[0], x), text)
-        return out.upper() if text.isupper() else out
+            return re.sub(r"\w+", lambda w: self.cased(w[0], next(new, w[0])), text)
+        first, _, family = plain.partition(" ")
+        swap = re.match(r"[^\W\d_]+(?:-[^\W\d_]+)?,", text)
+        words = (family.split("-") + [first]) if swap else ([first] + family.split("-"))
+        tokens = re.findall(r"[^\W\d_]+", text)
+        title = 0 if swap or not TITLE.match(text) else 1
+        # initials and names between the first and the family's get others
+        rnd = self.numbers("middle", form, draw)
+        middle = [self.other_char(rnd, t.lower()) if len(t) == 1 else self.word(rnd, 2, t.lower()) for t in tokens[title + 1 : len(tokens) - len(words) + 1]]
+        plan = words if swap else [None] * title + words[:1] + middle + words[1:]
+        new = iter(plan + [None] * len(tokens))
+        return re.sub(r"[^\W\d_]+", lambda w: w[0] if (x := next(new)) is None else self.cased(w[0], x), text)
 
     @staticmethod
     def cased(old: str, new: str) -> str:
-        if len(old) > 1 and old.isupper():
+        if old.isupper() and (len(old) > 1 or len(new) == 1):
             return new.upper()
         return new[:1].upper() + new[1:] if old[:1].isupper() else new
 
@@ -288,14 +355,20 @@ def name_table(names: DataFrame) -> list[tuple[str | None, str | None]]:
     return sorted(((r[0], r[1]) for r in rows), key=str)
 
 
-_DETECTORS: dict[int, Detector] = {}
+_DETECTORS: dict[str, Detector] = {}
+
+
+def _shared_names(spark: SparkSession, names: DataFrame):
+    """The table of names for all tasks, with a token: what a worker keeps of it is known by that."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, name_table(names)))
 
 
 def _detector(shared) -> Detector:
-    if id(shared.value) not in _DETECTORS:
+    token, names = shared.value
+    if token not in _DETECTORS:
         _DETECTORS.clear()
-        _DETECTORS[id(shared.value)] = Detector(shared.value)
-    return _DETECTORS[id(shared.value)]
+        _DETECTORS[token] = Detector(names)
+    return _DETECTORS[token]
 
 
 def _long_texts(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
@@ -310,13 +383,13 @@ def detect(df: DataFrame, names: DataFrame, id_col: str = "post_id", fields: tup
 
 def _spans(texts: DataFrame, names: DataFrame, fields: tuple[str, ...], places: bool) -> DataFrame:
     """(first column, field, pii_type), one row a type; with places also start, end and form, one row an entity."""
-    shared = texts.sparkSession.sparkContext.broadcast(name_table(names))
+    shared = _shared_names(texts.sparkSession, names)
     key, key_type = texts.dtypes[0]
     out = ["field", "pii_type", "start", "end", "form"][: 5 if places else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = _detector(shared)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, list(range(1, len(fields) + 1)), 2048)):
             at, rows = [], []
             for k, f in enumerate(fields):
                 memo: dict[str, list] = {}
@@ -339,20 +412,17 @@ def _spans(texts: DataFrame, names: DataFrame, fields: tuple[str, ...], places:
     return texts.mapInArrow(run, f"`{key}` {key_type}, " + ", ".join(f"`{c}` {kinds[c]}" for c in out))
 
 
-def draws(entities: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
+def draws(entities: DataFrame, key: bytes) -> DataFrame:
     """(pii_type, form, draw) of the entities that may not keep their first surrogate, so that all are distinct.
 
     Each round compares the surrogates of all entities; of those that agree, the least keeps its draw.
     """
-    shared = entities.sparkSession.sparkContext.broadcast(name_table(names))
+    surrogates = Surrogates(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Surrogates(key, _detector(shared).parts)
         for b in batches:
             kinds, forms, n = (b.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([made.plain(*x) for x in zip(kinds, forms, n)], pa.string())], names=["pii_type", "form", "draw", "surrogate"])
-
-    from pyspark.sql import Window
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([surrogates.plain(*x) for x in zip(kinds, forms, n)], pa.string())], names=["pii_type", "form", "draw", "surrogate"])
 
     now = stage(entities.select("pii_type", "form").distinct().withColumn("draw", F.lit(0)), "pii-draws")
     while True:
@@ -367,22 +437,21 @@ def draws(entities: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
             return now.where("draw > 0")
 
 
-def redact(df: DataFrame, names: DataFrame, id_col: str = "post_id", fields: tuple[str, ...] = FIELDS, key: bytes = b"threadloom") -> DataFrame:
-    """(id, *fields) with every entity replaced; a caller keeps `key` secret and constant.
+def redact(df: DataFrame, names: DataFrame, key: bytes, id_col: str = "post_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(id, *fields) with every entity replaced; a caller keeps `key` secret, and constant where surrogates are to be the same again.
 
     Texts are searched once. What was found is kept by a digest of the row's id and texts, so rows that
     repeat an id with other texts each get their own.
     """
     texts = _long_texts(df, id_col, fields).withColumn("_key", F.xxhash64("_id", *fields))
     found = stage(_spans(texts.select("_key", *fields), names, fields, True).dropDuplicates(["_key", "field", "start"]), "pii-spans")
-    again = draws(found.select("pii_type", "form"), names, key)
+    again = draws(found.select("pii_type", "form"), key)
     found = found.join(again, ["pii_type", "form"], "left").withColumn("draw", F.coalesce("draw", F.lit(0)))
     found = found.groupBy("_key").agg(F.collect_list(F.struct("field", "start", "end", "pii_type", "form", "draw")).alias("_found"))
-    shared = df.sparkSession.sparkContext.broadcast(name_table(names))
+    made = Surrogates(key)
     joined = texts.join(found, "_key", "left").select("_id", *fields, "_found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Surrogates(key, _detector(shared).parts)
         for b in batches:
             columns = [b.column(k + 1) for k in range(len(fields))]
             hits = [(i, x) for i, x in enumerate(b.column(len(fields) + 1).to_pylist()) if x]
@@ -411,6 +480,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """post_id and the fields of every post with each entity replaced by `[type surrogate]`."""
+    """post_id and the fields of every post with each entity replaced by `[type surrogate]`.
+
+    The key is the session's threadloom.pii.key; without one a run makes its own, which nobody knows afterwards.
+    """
     posts = spark.read.parquet(f"{sf_dir}/posts.parquet")
-    return redact(posts, spark.read.parquet(f"{sf_dir}/personal_names.parquet"))
+    key = spark.conf.get("threadloom.pii.key", None) or secrets.token_hex(32)
+    return redact(posts, spark.read.parquet(f"{sf_dir}/personal_names.parquet"), key.encode())
