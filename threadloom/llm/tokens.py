@@ -41,8 +41,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 ASCII_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 
 TOKENIZER_DIR = "/opt/tokenizers"
-#: Texts of a dictionary batch at most, and bytes of text, about; words replayed together; texts put out together. Memory only.
-BATCH_ROWS, BATCH_BYTES, REPLAY_WORDS, OUT_ROWS = 4096, 6_000_000, 20_000, 1024
+#: Texts of a dictionary batch at most, and bytes of text, about; words replayed together; texts put out together; batches of one task, on average. Memory only.
+BATCH_ROWS, BATCH_BYTES, REPLAY_WORDS, OUT_ROWS, TASK_BATCHES = 4096, 6_000_000, 20_000, 1024, 2
 
 
 def byte_symbols() -> dict[int, str]:
@@ -197,9 +197,11 @@ def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = stage(dictionary_batches(docs, id_col, text_col), "token-batches")
     words = stage(replay_words(texts.select(F.explode("words").alias("word")).distinct(), name, tokenizer_dir), "token-words")
     # one row for each different word of a batch meets the words of the corpus
-    met = texts.select("batch", F.posexplode("words").alias("number", "word")).join(words, "word")
+    # as many tasks as batches ask for, so that a task holds some of them at any size of the corpus
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TASK_BATCHES))
+    met = texts.select("batch", F.posexplode("words").alias("number", "word")).join(words, "word").repartition(tasks, "batch")
     met = met.groupBy("batch").agg(F.collect_list(F.struct("number", "tokens")).alias("met"))
-    joined = texts.select("batch", "ids", "sizes", "flat").join(met, "batch", "left").select("ids", "sizes", "flat", "met.number", "met.tokens")
+    joined = texts.select("batch", "ids", "sizes", "flat").repartition(tasks, "batch").join(met, "batch", "left").select("ids", "sizes", "flat", "met.number", "met.tokens")
 
     together = OUT_ROWS
 
