@@ -106,10 +106,12 @@ def test_writes(spark, archive):
     assert rows(upsert.next_local_idx(missing, archive.posts), "thread_id", "board_post_id", "local_idx") == [(1, 50, 4), (1, 200, 5), (7, 1, 1)]
     ids = [r.id for r in upsert.assign_ids(missing, "id", keys, 6, 3).collect()]
     assert sorted(ids) == [7, 8, 9]
-    assert rows(upsert.upsert_ids(new, archive.posts).where("post_id is not null"), "post_id", "action") == [(1, "updated"), (4, "updated")]
+    assert rows(upsert.upsert_ids(new, archive.posts).where("action <> 'inserted'"), "post_id", "action") == [(1, "updated"), (4, "updated")]
     assert {r.action for r in upsert.upsert_ids(new, archive.posts, 1).collect()} == {"inserted", "selected"}
     after = upsert.apply_embed(archive.posts, upsert.embed_changed(new, archive.posts))
     assert {r.post_id: r.embed for r in after.collect()} == {1: "e", 2: None, 3: None, 4: None, 5: None, 6: None}
+    # inserted rows have the ids that follow, in the order of their keys
+    assert rows(upsert.upsert_ids(new, archive.posts).where("action = 'inserted'"), "thread_id", "board_post_id", "post_id") == [(1, 50, 7), (1, 200, 8), (7, 1, 9)]
     twice = new.unionByName(new)
     assert upsert.insert_ignore(twice, archive.posts, keys).count() == 3
     assert unique_violations(twice, keys).count() == 5
@@ -123,17 +125,23 @@ def test_search(archive):
     assert found("radio or clicks") == [(2,), (4,)] and found("") == []
     assert found("keyboards clicking", "english") == [(2,)]
     assert found('"one keyboard"') == []  # fields do not run into each other in this order
-    hits = search.search_posts(archive, "keyboard", "2024-06-01", 10, "simple").orderBy(F.col("relevance").desc()).collect()
-    assert [h.post_id for h in hits] == [1, 2] and hits[0].file_name == "f1" and hits[0].bump_time == hits[0].creation_time
-    assert search.search_posts(archive, "keyboard", "2024-06-01", 1, "simple", rank_first=False).first().post_id == 1
-    # the day before the post: age -1 day has no quotient
-    assert search.ranked(archive.posts.where("post_id = 1"), "keyboard", "2023-12-31", "simple").first().relevance is not None
 
 
 def test_search_index(spark, archive, tmp_path):
-    search.build_index(archive.posts, str(tmp_path / "index"), "simple")
-    index = spark.read.parquet(str(tmp_path / "index"))
-    for q in ("keyboard", '"the old" keyboard', "keyboard -clicks", "radio or clicks"):
-        assert rows(search.index_matches(index, q, "simple"), "post_id") == rows(search.search_match(archive.posts, q, "simple"), "post_id"), q
+    path = str(tmp_path / "index")
+    search.build_index(archive.posts.where("post_id < 3"), path, "simple")
+    search.build_index(archive.posts.where("post_id >= 3"), path, "simple", mode="append")
+    index = search.read_index(spark, path)
+    for q in ("keyboard", '"the old" keyboard', "keyboard -clicks", "radio or clicks", '"the old"', "old keyboard"):
+        assert rows(search.hits(index, q, "2024-06-01", "simple"), "post_id") == rows(search.search_match(archive.posts, q, "simple"), "post_id"), q
     with pytest.raises(ValueError):
-        search.index_matches(index, "-keyboard", "simple")
+        search.hits(index, "-keyboard", "2024-06-01", "simple")
+    got = search.search_posts(archive, index, "keyboard", "2024-06-01", 10, "simple").collect()
+    assert [h.post_id for h in got] == [1, 2] and got[0].file_name == "f1" and got[0].bump_time == got[0].creation_time and got[0].relevance >= got[1].relevance
+    assert search.search_posts(archive, index, "keyboard", "2024-06-01", 1, "simple", rank_first=False).first().post_id == 1
+    # the day before the post: age -1 day has no quotient
+    assert search.hits(index, "keyboard", "2023-12-31", "simple").where("post_id = 1").first().relevance is not None
+    # a post that changed is found by its new words only
+    changed = archive.posts.where("post_id = 1").withColumn("subject", F.lit("typewriter")).withColumn("body", F.lit(None).cast("string"))
+    after = search.reindexed(index, changed, "simple")
+    assert rows(search.hits(after, "typewriter", "2024-06-01", "simple"), "post_id") == [(1,)] and rows(search.hits(after, "keyboard", "2024-06-01", "simple"), "post_id") == [(2,)]

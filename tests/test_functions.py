@@ -1,3 +1,4 @@
+import math
 from datetime import datetime, timedelta
 
 import duckdb
@@ -64,13 +65,21 @@ def test_parse():
     assert text.parse_web("found this board", "english") == [[T(("found",)), T(("board",))]]
 
 
-def test_rank():
-    q = text.parse_web("a", "simple")
-    assert abs(text.rank_terms({"a": [(1, 1.0)]}, q) - 1 / text.ZETA2) < 1e-12
-    assert abs(text.rank_terms({"a": [(1, 0.2), (9, 0.2)]}, q) - 0.25 / text.ZETA2) < 1e-12
-    near, far = ({"a": [(1, 0.2)], "b": [(n, 0.2)]} for n in (2, 30))
-    q = text.parse_web("a b", "simple")
-    assert text.rank_terms(near, q) > text.rank_terms(far, q) > 0 == text.rank_terms({}, q)
+def test_rank(spark):
+    schema = "a array<struct<pos: int, w: double>>, b array<struct<pos: int, w: double>>"
+
+    def rank(a, b, q):
+        row = spark.createDataFrame([(a, b)], schema).select(text.rank_of({"a": F.col("a"), "b": F.col("b")}, text.parse_web(q, "simple")).alias("r")).first()
+        return row.r
+
+    assert abs(rank([(1, 1.0)], [], "a") - 1 / text.ZETA2) < 1e-12
+    assert abs(rank([(1, 0.2), (9, 0.2)], [], "a") - 0.25 / text.ZETA2) < 1e-12
+    # the best weight counts whole, wherever it stands
+    assert abs(rank([(1, 0.2), (9, 0.4)], [], "a") - (0.4 + 0.2 + 0.1 - 0.1) / text.ZETA2) < 1e-12
+    assert rank([(1, 0.2)], [(2, 0.2)], "a b") > rank([(1, 0.2)], [(30, 0.2)], "a b") > 0 == rank([], [], "a b") == rank([(1, 0.2)], [(102, 0.2)], "a b")
+    v = lambda d: math.sqrt(0.2 * 0.4 / (1.005 + 0.05 * math.exp(d / 1.5 - 2)))
+    assert abs(rank([(1, 0.2), (8, 0.2)], [(3, 0.4)], "a b") - (1 - (1 - v(2)) * (1 - v(5)))) < 1e-12
+    assert abs(rank([(1, 1.0)], [], "a or b") - 0.5 / text.ZETA2) < 1e-12
 
 
 @settings(max_examples=50)

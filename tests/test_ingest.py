@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from threadloom.operators import search
 from threadloom.operators.ingest import DuplicateKeys, copy_files, copy_plan, ingest
 from threadloom.sources import snapshot
 from threadloom.sources.archive import UNIQUE, Archive, unique_violations
@@ -44,16 +45,18 @@ def site(tmp_path):
 
 def test_ingest_twice(spark, site):
     root, settings = site
-    first, report = ingest(spark, settings, Archive.empty(spark))
+    index = str(root.parent / "index")
+    first, report = ingest(spark, settings, Archive.empty(spark), index=index, config="simple")
+    assert search.hits(search.read_index(spark, index), "late", "2024-06-01", "simple").count() == 1
     assert report.added == {"sites": 1, "boards": 2, "threads": 4, "posts": 5, "attachments": 3}
-    assert len(report.rejected) == 1 and report.rejected[0].endswith("9.json")
+    assert report.rejected_count == 1 and report.rejected.first().path.endswith("9.json")
     for name, keys in UNIQUE.items():
         assert all(unique_violations(getattr(first, name), k).isEmpty() for k in keys), name
     files = {r.board_filename: r for r in first.attachments.collect()}
     assert set(files) == {"a", "c", "55"} and files["c"].attachment_idx == 3  # the place of a deleted file stays free
     assert files["a"].sha256_hash == hashlib.sha256(b"a").hexdigest() and tuple(files["a"].resolution) == (4, 5) and files["c"].resolution is None
     assert (files["a"].spoiler, files["c"].spoiler, files["55"].spoiler) == (False, True, False) and files["55"].mimetype == "image/gif" and files["a"].illegal is False
-    again, second = ingest(spark, settings, first)
+    again, second = ingest(spark, settings, first, index=index)
     assert set(second.added.values()) == {0} and again.posts.count() == 5
     assert (second.sum_post_id, second.sum_board_post_id) == (report.sum_post_id, report.sum_board_post_id) == (15, 15)
 

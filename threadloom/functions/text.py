@@ -7,7 +7,6 @@ lower-case word; `english` drops stop words and stems.
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -228,33 +227,41 @@ def matches(terms: Column, query: Query) -> Column:
     return out
 
 
-def rank_terms(postings: dict[str, list[tuple[int, float]]], query: Query) -> float:
-    """The cover-free rank of a document: postings are (position, weight) by term.
+def rank_of(places: dict[str, Column], query: Query) -> Column:
+    """The cover-free rank of a document: places are arrays of (pos, w: weight) by term, in order of pos.
 
-    With one alternative of several terms, pairs of places count by their distance; else each term
-    counts by its best weight and by how often it occurs. Distances follow the published formulas.
+    With one alternative of several terms, pairs of places count by their distance (beyond 100 words not at
+    all); else each term counts by its best weight and by how often it occurs. Distances follow the
+    published formulas.
     """
     terms = list(dict.fromkeys(w for a in query for t in a if isinstance(t, Term) for w in t.words if w))
-    if not terms or not any(t in postings for t in terms):
-        return 0.0
+    if not terms:
+        return F.lit(0.0)
     if len(query) == 1 and len(terms) >= 2:
-        rest = -1.0
+        def with_pairs(rest: Column, one: Column, two: Column) -> Column:
+            """rest times what is left beside each pair of places."""
+
+            def of_place(acc: Column, x: Column) -> Column:
+                def of_pair(left: Column, y: Column) -> Column:
+                    d = F.abs(x["pos"] - y["pos"])
+                    value = F.sqrt(x["w"] * y["w"] / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+                    return F.when((d > 0) & (d <= 100), left * (1.0 - value)).otherwise(left)
+
+                return F.aggregate(two, acc, of_pair)
+
+            return F.aggregate(one, rest, of_place)
+
+        rest = F.lit(1.0)
         for i, t in enumerate(terms):
             for s in terms[:i]:
-                for p, wp in postings.get(t, ()):
-                    for q, wq in postings.get(s, ()):
-                        if d := abs(p - q):
-                            value = math.sqrt(wp * wq / (1.005 + 0.05 * math.exp(d / 1.5 - 2))) if d <= 100 else 1e-30
-                            rest = 1.0 - value if rest < 0 else rest * (1.0 - value)
-        return 0.0 if rest < 0 else 1.0 - rest
-    total = 0.0
+                rest = with_pairs(rest, places[t], places[s])
+        return 1.0 - rest
+    total = F.lit(0.0)
     for t in terms:
-        places = postings.get(t)
-        if places:
-            weights = [w for _, w in places]
-            best = max(range(len(weights)), key=lambda j: (weights[j], -j))
-            series = sum(w / (j + 1) ** 2 for j, w in enumerate(weights))
-            total += (weights[best] + series - weights[best] / (best + 1) ** 2) / ZETA2
+        weights = F.transform(places[t], lambda x: x["w"])
+        best = F.array_max(weights)
+        series = F.aggregate(F.transform(weights, lambda w, j: w / F.pow(j + 1, F.lit(2))), F.lit(0.0), lambda acc, x: acc + x)
+        total = total + F.when(F.size(weights) > 0, (best + series - best / F.pow(F.array_position(weights, best), F.lit(2))) / ZETA2).otherwise(0.0)
     return total / len(terms)
 
 

@@ -15,9 +15,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.common import stage
+from threadloom.common import stage, utc
 from threadloom.functions import media
-from threadloom.operators import upsert
+from threadloom.operators import search, upsert
 from threadloom.sources import snapshot
 from threadloom.sources.archive import SCHEMAS, Archive, unique_violations
 
@@ -28,10 +28,11 @@ class DuplicateKeys(ValueError):
 
 @dataclass
 class Report:
-    """New rows by table, rejected files, and sums of ids over the posts of the snapshot."""
+    """New rows by table, rejected files (path) and their number, and sums of ids over the posts of the snapshot."""
 
     added: dict[str, int]
-    rejected: list[str]
+    rejected: DataFrame
+    rejected_count: int
     sum_post_id: int
     sum_board_post_id: int
 
@@ -48,11 +49,12 @@ def _text(column: str) -> Column:
     return F.col(column)
 
 
-def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, strict: bool = True, copy_media: bool = False, phash=None) -> tuple[Archive, Report]:
+def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, strict: bool = True, copy_media: bool = False, phash=None, index: str | None = None, config: str = "english") -> tuple[Archive, Report]:
     """The archive with the snapshot's rows, and a report.
 
     strict: a key that a batch repeats is an error; else its first row is taken. phash: a function from a
-    column of file paths to a column of perceptual hashes, where a decoder of pictures is at hand.
+    column of file paths to a column of perceptual hashes, where a decoder of pictures is at hand. index: a
+    folder of search postings, to which those of the new posts are added.
     """
     root = settings.backup_read_root.rstrip("/")
     added: dict[str, int] = {}
@@ -95,11 +97,17 @@ def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, s
     )
     keys = ["thread_id", "board_post_id"]
     new = upsert.next_local_idx(upsert.missing(batch(rows, keys), archive.posts, keys), archive.posts)
-    posts, _ = append("posts", archive.posts, upsert.assign_ids(new, "post_id", keys, _greatest(archive.posts, "post_id")), keys)
+    posts, new = append("posts", archive.posts, upsert.assign_ids(new, "post_id", keys, _greatest(archive.posts, "post_id")), keys)
+
+    if index and added["posts"]:
+        search.build_index(new.withColumn("creation_time", utc("creation_time")), index, config, mode="append")
 
     # attachments: known by post and name; only files that exist
     ids = posts.join(of_snapshot.select("thread_id"), "thread_id", "left_semi").select("post_id", "thread_id", F.col("board_post_id").alias("no"))
-    files = stage(snapshot.files_of(read).join(of_snapshot, ["board_dir", "thread_no"]).join(ids, ["thread_id", "no"]), "files-read")
+    listed_files = stage(snapshot.files_of(read), "files-listed")
+    files = stage(listed_files.join(of_snapshot, ["board_dir", "thread_no"]).join(ids, ["thread_id", "no"]), "files-read")
+    if (lost := listed_files.count() - files.count()) > 0:
+        raise LookupError(f"{lost} files belong to posts that the archive does not have")
     keys = ["post_id", "board_filename"]
     new = upsert.missing(batch(files, keys), archive.attachments, keys)
     if not new.isEmpty():
@@ -115,8 +123,8 @@ def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, s
     if copy_media:
         copy_files(files, settings)
     sums = ids.agg(F.sum("post_id").alias("a"), F.sum("no").alias("b")).first()
-    rejected = sorted(r["path"] for r in bad_catalogs.unionByName(bad_threads).limit(10_000).collect())
-    return Archive(sites, boards, threads, posts, attachments), Report(added, rejected, sums["a"] or 0, sums["b"] or 0)
+    rejected = stage(bad_catalogs.unionByName(bad_threads), "rejected")
+    return Archive(sites, boards, threads, posts, attachments), Report(added, rejected, rejected.count(), sums["a"] or 0, sums["b"] or 0)
 
 
 def copy_plan(files: DataFrame, settings: snapshot.Settings) -> DataFrame:
@@ -129,7 +137,7 @@ def copy_plan(files: DataFrame, settings: snapshot.Settings) -> DataFrame:
 
 
 def copy_files(files: DataFrame, settings: snapshot.Settings) -> None:
-    """Copy media on the executors; where the file is there already, it and its thumbnail are left alone."""
+    """Copy media on the executors, between folders that all of them mount; where the file is there already, it and its thumbnail are left alone."""
 
     def run(rows) -> None:
         done: dict[str, bool] = {}
@@ -151,5 +159,5 @@ def write_archive(archive: Archive, path: str) -> None:
     archive.sites.write.parquet(f"{path}/sites.parquet")
     archive.boards.write.parquet(f"{path}/boards.parquet")
     archive.threads.sortWithinPartitions("creation_time").write.parquet(f"{path}/threads.parquet")
-    archive.posts.repartitionByRange("creation_time").sortWithinPartitions("creation_time", "thread_id").write.parquet(f"{path}/posts.parquet")
+    archive.posts.repartitionByRange("creation_time", "post_id").sortWithinPartitions("creation_time", "thread_id").write.parquet(f"{path}/posts.parquet")
     archive.attachments.sortWithinPartitions("post_id").write.parquet(f"{path}/attachments.parquet")

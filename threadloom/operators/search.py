@@ -1,7 +1,9 @@
 """Full-text search over posts: relevance is rank divided by age, as a page of catalog columns.
 
-`build_index` writes postings (term, post_id, positions, weight) sorted by term, so that a search reads
-the row groups of its terms only; `search_posts` works on it, or on the posts themselves.
+`build_index` writes postings (term, post_id, creation_time, places) in folders by a hash of the term; ingest
+appends those of new posts. A search reads the postings of its terms only: match, rank, relevance and limit
+need nothing else, and posts are read for the hits alone. `search_match` and `postings` also work on posts that
+have no index.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from threadloom.sources.archive import Archive
 
 #: Weight classes of the fields, in the order of their positions.
 FIELDS = (("subject", "A"), ("name", "B"), ("body", "C"))
+#: Folders of an index: a search reads those of its terms.
+FOLDERS = 64
 
 
 def documents(posts: DataFrame, config: str = "english") -> DataFrame:
@@ -33,96 +37,99 @@ def documents(posts: DataFrame, config: str = "english") -> DataFrame:
 
 
 def postings(posts: DataFrame, config: str = "english") -> DataFrame:
-    """(post_id, term, weight, positions): one row a post, term and field; positions count from 1 over all fields."""
-    docs = documents(posts.select("post_id", "subject", "name", "body"), config)
-    rows = docs.select("post_id", "_ends", F.posexplode("terms").alias("i", "term")).where("term is not null")
+    """(term, post_id, creation_time, places): one row a post and term; places (pos, weight) count from 1 over all fields."""
+    docs = documents(posts.select("post_id", "creation_time", "subject", "name", "body"), config)
+    rows = docs.select("post_id", "creation_time", "_ends", F.posexplode("terms").alias("i", "term")).where("term is not null")
     weight = F.when(F.col("i") < F.col("_ends")[0], "A").when(F.col("i") < F.col("_ends")[1], "B").otherwise("C")
-    return rows.groupBy("post_id", "term", weight.alias("weight")).agg(F.array_sort(F.collect_list(F.col("i") + 1)).alias("positions"))
+    return rows.groupBy("term", "post_id", "creation_time").agg(F.array_sort(F.collect_list(F.struct((F.col("i") + 1).alias("pos"), weight.alias("weight")))).alias("places"))
 
 
-def build_index(posts: DataFrame, path: str, config: str = "english") -> None:
-    """Write the postings sorted by term: searches prune by the row groups' least and greatest term."""
-    rows = postings(posts, config)
-    rows.repartitionByRange("term", "post_id").sortWithinPartitions("term", "post_id").write.parquet(path)
+def _folder(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
-def index_matches(index: DataFrame, text: str, config: str = "english") -> DataFrame:
-    """post_id of the posts that satisfy a query, from the index alone: only postings of the query's terms are read."""
-    query = tx.parse_web(text, config)
-    words = sorted({w for a in query for t in a for w in (t.of if isinstance(t, tx.Not) else t).words if w})
-    rows = index.where(F.col("term").isin(words)).groupBy("post_id", "term").agg(F.flatten(F.collect_list("positions")).alias("p"))
-    docs = rows.groupBy("post_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "p"))).alias("at"))
+def build_index(posts: DataFrame, path: str, config: str = "english", mode: str = "errorifexists") -> None:
+    """Write the postings by folder and term; mode="append" adds those of new posts."""
+    # a term that most posts have is spread over the tasks by the post
+    rows = postings(posts, config).withColumn("folder", _folder("term"))
+    rows.repartitionByRange("folder", "term", "post_id").sortWithinPartitions("folder", "term", "post_id").write.mode(mode).option("compression", "zstd").partitionBy("folder").parquet(path)
+
+
+def read_index(spark, path: str) -> DataFrame:
+    return spark.read.schema("term string, post_id long, creation_time timestamp_ntz, places array<struct<pos: int, weight: string>>, folder int").parquet(path)
+
+
+def reindexed(index: DataFrame, changed: DataFrame, config: str = "english") -> DataFrame:
+    """The index's postings after posts changed (`changed`: whole rows): theirs are made anew, those of a post without text any more are gone."""
+    return index.drop("folder").join(changed.select("post_id"), "post_id", "left_anti").unionByName(postings(changed, config), allowMissingColumns=True)
+
+
+def _asked(query: tx.Query) -> list[str]:
+    return sorted({w for a in query for t in a for w in (t.of if isinstance(t, tx.Not) else t).words if w})
+
+
+def _has(places: dict[str, Column], t: tx.Term) -> Column:
+    first = places[t.words[0]]
+    if len(t.words) == 1:
+        return F.size(first) > 0
+
+    def stands(w: str, pos: Column) -> Column:
+        return F.exists(places[w], lambda y: y["pos"] == pos)
+
+    def follows(x: Column) -> Column:
+        out = F.lit(True)
+        for i, w in enumerate(t.words[1:], 1):
+            if w is not None:
+                out = out & stands(w, x["pos"] + i)
+        return out
 
-    def has(t: tx.Term) -> Column:
-        first = F.coalesce(F.col("at")[t.words[0]], F.array().cast("array<int>"))
-        if len(t.words) == 1:
-            return F.size(first) > 0
+    return F.exists(first, follows)
 
-        def follows(x: Column) -> Column:
-            out = F.lit(True)
-            for i, w in enumerate(t.words[1:], 1):
-                if w is not None:
-                    out = out & F.coalesce(F.array_contains(F.col("at")[w], x + i), F.lit(False))
-            return out
 
-        return F.exists(first, follows)
+def hits(index: DataFrame, text: str, as_of: datetime | str, config: str = "english") -> DataFrame:
+    """(post_id, rank, relevance) of the posts that satisfy a query, from the postings of its terms alone; relevance = rank / (1 + age in days).
 
+    An alternative of exclusions only would need every post: it is an error.
+    """
+    query = tx.parse_web(text, config)
+    if any(all(isinstance(t, tx.Not) for t in a) for a in query):
+        raise ValueError("an alternative of exclusions only needs the posts themselves: use search_match")
+    words = _asked(query)
+    mine = index.where(F.col("term").isin(words))
+    if "folder" in index.columns:
+        known = index.sparkSession.createDataFrame([(w,) for w in words], "term string").select(_folder("term").alias("f")).distinct()
+        mine = mine.where(F.col("folder").isin([r["f"] for r in known.collect()]))  # one a word of the query
+    docs = mine.groupBy("post_id", "creation_time").agg(*[F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("places")))).alias(f"p{i}") for i, w in enumerate(words)])
+    places = {w: F.col(f"p{i}") for i, w in enumerate(words)}
     found = F.lit(False)
     for a in query:
         every = F.lit(True)
-        if all(isinstance(t, tx.Not) for t in a):
-            raise ValueError("an alternative of exclusions only needs the posts themselves: use search_match")
         for t in a:
-            every = every & (~has(t.of) if isinstance(t, tx.Not) else has(t))
+            every = every & (~_has(places, t.of) if isinstance(t, tx.Not) else _has(places, t))
         found = found | every
-    return docs.where(found).select("post_id")
+    rank = tx.rank_of({w: F.transform(p, lambda x: F.struct(x["pos"].alias("pos"), _weight(x["weight"]).alias("w"))) for w, p in places.items()}, query)
+    age = age_since(moment(as_of), utc("creation_time"))
+    docs = docs.where(found).withColumn("rank", rank)
+    # the day after as_of has age -1: the quotient has no value there
+    return docs.select("post_id", "rank", F.try_divide(F.col("rank"), 1 + age / (3600 * 24)).alias("relevance"))
 
 
-def search_match(posts: DataFrame, text: str, config: str = "english") -> DataFrame:
-    """The posts that satisfy a web-style query."""
-    return documents(posts, config).where(tx.matches(F.col("terms"), tx.parse_web(text, config))).select(posts.columns)
+def _weight(c: Column) -> Column:
+    return F.when(c == "A", tx.RANK_WEIGHTS["A"]).when(c == "B", tx.RANK_WEIGHTS["B"]).otherwise(tx.RANK_WEIGHTS["C"])
 
 
-def ranked(posts: DataFrame, text: str, as_of: datetime | str, config: str = "english") -> DataFrame:
-    """Matching posts with `rank` and `relevance` = rank / (1 + age in days)."""
-    query = tx.parse_web(text, config)
-    weights = [tx.RANK_WEIGHTS[w] for _, w in FIELDS]
-    asked = [w for a in query for t in a if isinstance(t, tx.Term) for w in t.words if w]
-
-    @F.pandas_udf("double")
-    def rank(terms, ends):
-        def one(ts, es) -> float:
-            places: dict[str, list[tuple[int, float]]] = {}
-            for i, t in enumerate(ts):
-                if t in wanted:
-                    places.setdefault(t, []).append((i + 1, weights[0] if i < es[0] else weights[1] if i < es[1] else weights[2]))
-            return tx.rank_terms(places, query)
-
-        wanted = set(asked)
-        return terms.combine(ends, one).astype("float64")
-
-    docs = documents(posts, config).where(tx.matches(F.col("terms"), query))
-    age = age_since(moment(as_of), utc("creation_time"))
-    docs = docs.withColumn("rank", rank("terms", "_ends"))
-    # the day after as_of has age -1: the quotient has no value there
-    return docs.withColumn("relevance", F.try_divide(F.col("rank"), 1 + age / (3600 * 24))).drop("terms", "_ends")
+def search_match(posts: DataFrame, text: str, config: str = "english") -> DataFrame:
+    """The posts that satisfy a web-style query, without an index."""
+    return documents(posts, config).where(tx.matches(F.col("terms"), tx.parse_web(text, config))).select(posts.columns)
 
 
-def search_posts(archive: Archive, text: str, as_of: datetime | str, max_rows: int = 1000, config: str = "english", rank_first: bool = True) -> DataFrame:
-    """Matching posts as catalog rows with `relevance`.
+def search_posts(archive: Archive, index: DataFrame, text: str, as_of: datetime | str, max_rows: int = 1000, config: str = "english", rank_first: bool = True) -> DataFrame:
+    """Matching posts as catalog rows with `relevance`, the most relevant first.
 
-    rank_first=True returns the most relevant rows. False takes the first max_rows matches by post_id and
-    ranks only those, as an engine does that limits before it sorts.
+    rank_first=True returns the most relevant rows. False takes the first max_rows matches by post_id, as an
+    engine does that limits before it sorts.
     """
-    posts = archive.posts
-    if rank_first:
-        rows = ranked(posts, text, as_of, config).orderBy(F.col("relevance").desc_nulls_last(), F.col("post_id")).limit(max_rows)
-    else:
-        rows = ranked(search_match(posts, text, config).orderBy("post_id").limit(max_rows), text, as_of, config)
-    rows = rows.withColumn("estimated_post_count", F.lit(0).cast("bigint")).withColumn("bump_time", F.col("creation_time"))
-    return with_first_file(with_places(rows, archive), archive).select(*PAGE, "relevance")
-
-
-def search_posts_all(posts: DataFrame, text: str, as_of: datetime | str, config: str = "english") -> DataFrame:
-    """Every matching post with its relevance, without a limit."""
-    return ranked(posts, text, as_of, config)
+    order = [F.col("relevance").desc_nulls_last(), F.col("post_id")]
+    top = hits(index, text, as_of, config).orderBy(*(order if rank_first else order[1:])).limit(max_rows)
+    rows = archive.posts.join(top.drop("rank"), "post_id").withColumn("estimated_post_count", F.lit(0).cast("bigint")).withColumn("bump_time", F.col("creation_time"))
+    return with_first_file(with_places(rows, archive), archive).select(*PAGE, "relevance").orderBy(*order)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.common import stage
+
 
 def missing(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows whose key does not exist."""
@@ -12,13 +14,14 @@ def missing(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFr
 
 
 def assign_ids(df: DataFrame, id_col: str, keys: list[str], start: Column | int, parts: int | None = None) -> DataFrame:
-    """Dense ids from start + 1, without one task that numbers all rows.
+    """Dense ids from start + 1 in the order of the keys, without one task that numbers all rows.
 
-    Rows fall into parts by a hash of their key; a part's ids begin after those of the parts before it
-    (one small table of counts), so the work spreads and the ids are the same in every run.
+    Rows are ranged by their keys and written; each range is numbered by itself, after as many rows as the
+    ranges before it hold. The counts are one row a range, so sending them to all tasks is bounded by the
+    number of tasks. The ids do not depend on where the ranges begin.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
+    rows = stage(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ids")
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
@@ -47,15 +50,16 @@ def upsert_ids(incoming: DataFrame, posts: DataFrame, version: int = 3) -> DataF
     """(thread_id, board_post_id, post_id, action) of an incoming batch of posts.
 
     Version 1 and 2 answer the inserted rows and those that exist; version 3 also tells rows whose embed
-    differs (null included), which are then updated. New rows have a null id until they are written.
+    differs (null included), which are then updated. Inserted rows get the ids that follow the greatest, in
+    the order of their keys.
     """
     keys = ["thread_id", "board_post_id"]
     old = posts.select(*keys, "post_id", F.col("embed").alias("_embed"))
-    rows = incoming.join(old, keys, "left")
-    action = F.when(F.col("post_id").isNull(), "inserted")
-    if version >= 3:
-        action = action.when(~F.col("embed").eqNullSafe(F.col("_embed")), "updated")
-    return rows.select(*keys, "post_id", action.otherwise("selected").alias("action"))
+    rows = incoming.join(old, keys)
+    action = F.when(~F.col("embed").eqNullSafe(F.col("_embed")), "updated").otherwise("selected") if version >= 3 else F.lit("selected")
+    start = posts.agg(F.max("post_id")).first()[0] or 0
+    new = assign_ids(missing(incoming.select(*keys), posts, keys), "post_id", keys, start)
+    return rows.select(*keys, "post_id", action.alias("action")).unionByName(new.select(*keys, "post_id", F.lit("inserted").alias("action")))
 
 
 def embed_changed(incoming: DataFrame, posts: DataFrame) -> DataFrame:

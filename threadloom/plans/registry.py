@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from threadloom.operators import tree_aggregate
-from threadloom.plans import activity, searching, writing
+from threadloom.plans import activity, ingesting, searching, writing
 
-_MODULES = [tree_aggregate, activity, writing, searching]
+_MODULES = [tree_aggregate, activity, writing, searching, ingesting]
 
 QUERIES: dict = {}
 SQL: dict = {}

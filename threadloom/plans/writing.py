@@ -153,8 +153,8 @@ SQL = {
     "get_posts_by_key": f"WITH {P}, {I} SELECT post_id, thread_id, board_post_id FROM p WHERE (thread_id, board_post_id) IN (SELECT thread_id, board_post_id FROM i)",
     "missing_posts": f"WITH {P}, {I} SELECT thread_id, board_post_id, incoming_id FROM i WHERE (thread_id, board_post_id) NOT IN (SELECT thread_id, board_post_id FROM p)",
     "insert_ignore": f"WITH {P}, {I} SELECT count(*) AS rows FROM i WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.thread_id = i.thread_id AND p.board_post_id = i.board_post_id)",
-    "upsert_ids_v1": f"WITH {I}, {E} SELECT n.thread_id, n.board_post_id, e.post_id, CASE WHEN e.post_id IS NULL THEN 'inserted' ELSE 'selected' END AS action FROM n LEFT JOIN e ON e.thread_id = n.thread_id AND e.board_post_id = n.board_post_id",
-    "upsert_ids_v3": f"WITH {I}, {E} SELECT n.thread_id, n.board_post_id, e.post_id, CASE WHEN e.post_id IS NULL THEN 'inserted' WHEN n.embed IS DISTINCT FROM e.embed THEN 'updated' ELSE 'selected' END AS action FROM n LEFT JOIN e ON e.thread_id = n.thread_id AND e.board_post_id = n.board_post_id",
+    "upsert_ids_v1": f"WITH {I}, {E} SELECT n.thread_id, n.board_post_id, CASE WHEN e.post_id IS NULL THEN (SELECT max(post_id) FROM posts) + row_number() OVER (PARTITION BY e.post_id IS NULL ORDER BY n.thread_id, n.board_post_id) ELSE e.post_id END AS post_id, CASE WHEN e.post_id IS NULL THEN 'inserted' ELSE 'selected' END AS action FROM n LEFT JOIN e ON e.thread_id = n.thread_id AND e.board_post_id = n.board_post_id",
+    "upsert_ids_v3": f"WITH {I}, {E} SELECT n.thread_id, n.board_post_id, CASE WHEN e.post_id IS NULL THEN (SELECT max(post_id) FROM posts) + row_number() OVER (PARTITION BY e.post_id IS NULL ORDER BY n.thread_id, n.board_post_id) ELSE e.post_id END AS post_id, CASE WHEN e.post_id IS NULL THEN 'inserted' WHEN n.embed IS DISTINCT FROM e.embed THEN 'updated' ELSE 'selected' END AS action FROM n LEFT JOIN e ON e.thread_id = n.thread_id AND e.board_post_id = n.board_post_id",
     "embed_changed": f"WITH {I}, {E} SELECT e.post_id, n.embed FROM n JOIN e ON e.thread_id = n.thread_id AND e.board_post_id = n.board_post_id WHERE n.embed IS DISTINCT FROM e.embed",
     "update_from": f"WITH {I}, {E}, c AS (SELECT e.post_id, n.embed FROM n JOIN e ON e.thread_id = n.thread_id AND e.board_post_id = n.board_post_id WHERE n.embed IS DISTINCT FROM e.embed) SELECT e.post_id, CASE WHEN c.post_id IS NOT NULL THEN c.embed ELSE e.embed END AS embed FROM e LEFT JOIN c ON c.post_id = e.post_id",
     "max_local_idx": f"WITH {P}, {I} SELECT thread_id, max(local_idx) AS max_idx FROM p WHERE thread_id IN (SELECT thread_id FROM i) GROUP BY thread_id",
