@@ -45,6 +45,5 @@ def test_same_as_sql(spark, duck, name):
     assert sorted((tuple(value(r[c]) for c in columns) for r in got.collect()), key=key) == sorted((tuple(map(value, r)) for r in want.fetchall()), key=key)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(registry.QUERIES) == set(registry.SQL)

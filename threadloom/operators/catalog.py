@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.common import first_by, moment, utc
+from threadloom.common import moment, stage, utc
 from threadloom.operators.ranking import bump, newest, top_threads
 from threadloom.sources.archive import Archive
 
@@ -34,23 +34,28 @@ def with_first_file(rows: DataFrame, archive: Archive) -> DataFrame:
 
 
 def fetch_catalog(archive: Archive, max_time: datetime | str, max_row_read: int = 10_000) -> DataFrame:
-    """First posts of the top threads with place, first file and the count of posts within the lookback.
+    """First posts of the top threads with place, first file and the count of posts within the lookback, the last bumped first.
 
-    Threads without a post 1 before the moment are left out. Unordered; a page is sorted by bump_time descending.
+    Threads without a post 1 before the moment are left out.
     """
-    top = top_threads(archive.posts, max_time, max_row_read).select("thread_id", "bump_time", F.col("post_count").alias("estimated_post_count"))
+    top = stage(top_threads(archive.posts, max_time, max_row_read).select("thread_id", "bump_time", F.col("post_count").alias("estimated_post_count")), "top")
     first = archive.posts.where((F.col("local_idx") == 1) & (utc("creation_time") < moment(max_time)))
     rows = first.join(top, "thread_id")
-    return with_first_file(with_places(rows, archive), archive).select(PAGE)
+    return with_first_file(with_places(rows, archive), archive).select(PAGE).orderBy(F.col("bump_time").desc(), F.col("thread_id").desc())
 
 
 def fetch_catalog_exact(archive: Archive, max_time: datetime | str, max_row_read: int = 10_000) -> DataFrame:
-    """As fetch_catalog with the first post by number and the exact count of all posts of the thread."""
-    top = top_threads(archive.posts, max_time, max_row_read).select("thread_id", "bump_time")
-    rows = archive.posts.join(top, "thread_id")
-    first = first_by(rows, ["thread_id"], [F.col("board_post_id"), F.col("post_id")])
-    counts = rows.groupBy("thread_id").agg(F.count("*").alias("post_count"))
-    return with_places(first.join(counts, "thread_id"), archive).select("post_count", "post_id", "board_post_id", "creation_time", "bump_time", "body", "subject", "thread_id", "embed", "board_thread_id", "pathpart", "site_name")
+    """As fetch_catalog with the first post by number and the exact count of all posts of the thread.
+
+    The top threads (at most max_row_read rows) are found once; counts and first posts come from narrow columns of
+    their posts, combined before anything is shuffled; whole posts are read for the first ones only.
+    """
+    top = stage(top_threads(archive.posts, max_time, max_row_read).select("thread_id", "bump_time"), "top")
+    mine = archive.posts.select("thread_id", "board_post_id", "post_id").join(top, "thread_id", "left_semi")
+    counts = mine.groupBy("thread_id").agg(F.count("*").alias("post_count"), F.min(F.struct("board_post_id", "post_id")).alias("first"))
+    counts = stage(counts.join(top, "thread_id").select(F.col("first.post_id").alias("post_id"), "post_count", "bump_time"), "counts")
+    rows = with_places(archive.posts.join(counts, "post_id"), archive)
+    return rows.select("post_count", "post_id", "board_post_id", "creation_time", "bump_time", "body", "subject", "thread_id", "embed", "board_thread_id", "pathpart", "site_name").orderBy(F.col("bump_time").desc(), F.col("thread_id").desc())
 
 
 def fetch_catalog_paged(posts: DataFrame, max_time: datetime | str, count: int, offset: int) -> DataFrame:
@@ -58,7 +63,7 @@ def fetch_catalog_paged(posts: DataFrame, max_time: datetime | str, count: int,
     before = posts.where(utc("creation_time") < moment(max_time))
     groups = before.groupBy("thread_id").agg(F.max("creation_time").alias("bump_time"), F.count("*").alias("post_count"), F.min("post_id").alias("post_id"))
     page = groups.orderBy(F.col("bump_time").desc(), F.col("thread_id").desc()).offset(offset).limit(count)
-    return page.join(posts.select("post_id", "body"), "post_id").select("bump_time", "post_count", "post_id", "thread_id", "body")
+    return page.join(posts.select("post_id", "body"), "post_id").select("bump_time", "post_count", "post_id", "thread_id", "body").orderBy(F.col("bump_time").desc(), F.col("thread_id").desc())
 
 
 def union_bump(posts: DataFrame, times: list[str], n: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.common import first_by
+from threadloom.common import first_by, moment, stage, utc
+from threadloom.operators.ranking import top_threads_exact
 
 
 def distinct_on(posts: DataFrame) -> DataFrame:
@@ -37,17 +38,31 @@ def by_first_value(posts: DataFrame) -> DataFrame:
 
 def by_lateral(posts: DataFrame) -> DataFrame:
     """(thread_id, post_id): one row a thread by a correlated top-1, which Catalyst turns into a join."""
-    posts.select("thread_id", "post_id", "creation_time").createOrReplaceTempView("_first_posts")
     return posts.sparkSession.sql(
-        """SELECT t.thread_id, f.post_id FROM (SELECT DISTINCT thread_id FROM _first_posts) t
-           JOIN LATERAL (SELECT p.post_id FROM _first_posts p WHERE p.thread_id = t.thread_id ORDER BY p.creation_time, p.post_id LIMIT 1) f"""
+        """SELECT t.thread_id, f.post_id FROM (SELECT DISTINCT thread_id FROM {p}) t
+           JOIN LATERAL (SELECT p.post_id FROM {p} p WHERE p.thread_id = t.thread_id ORDER BY p.creation_time, p.post_id LIMIT 1) f""",
+        p=posts.select("thread_id", "post_id", "creation_time"),
     )
 
 
 def by_correlated_min(posts: DataFrame) -> DataFrame:
     """(thread_id, post_id): all rows of the earliest time by a correlated scalar subquery."""
-    posts.select("thread_id", "post_id", "creation_time").createOrReplaceTempView("_first_posts")
-    return posts.sparkSession.sql("SELECT p.thread_id, p.post_id FROM _first_posts p WHERE p.creation_time = (SELECT min(q.creation_time) FROM _first_posts q WHERE q.thread_id = p.thread_id)")
+    return posts.sparkSession.sql("SELECT p.thread_id, p.post_id FROM {p} p WHERE p.creation_time = (SELECT min(q.creation_time) FROM {p} q WHERE q.thread_id = p.thread_id)", p=posts.select("thread_id", "post_id", "creation_time"))
+
+
+FORMS = {"first_value": by_row_number, "rank": by_rank, "min_join": by_min_join, "lateral": by_lateral, "correlated_min": by_correlated_min}
+
+
+def page(posts: DataFrame, form: str, as_of: str, threads: int = 100) -> DataFrame:
+    """(bump_time, post_count, thread_id, post_id, body): the threads bumped last before a moment with their first posts, the last bumped first.
+
+    The threads come first (at most `threads` rows), then the first posts of these by the form, then their bodies; forms
+    that keep ties give a thread several rows.
+    """
+    top = stage(top_threads_exact(posts, as_of, threads).select("bump_time", "post_count", "thread_id"), "top")
+    mine = posts.select("thread_id", "post_id", "creation_time").where(utc("creation_time") < moment(as_of)).join(top, "thread_id", "left_semi")
+    first = FORMS[form](mine).select("thread_id", "post_id").join(top, "thread_id")
+    return posts.select("post_id", "body").join(first, "post_id").select("bump_time", "post_count", "thread_id", "post_id", "body").orderBy(F.col("bump_time").desc(), F.col("thread_id").desc(), "post_id")
 
 
 def first_agg(df: DataFrame, key: str, column: str, order: list[str]) -> DataFrame:

@@ -152,12 +152,3 @@ def copy_files(files: DataFrame, settings: snapshot.Settings) -> None:
             part.rename(target)  # a task that runs twice leaves no half file
 
     copy_plan(files, settings).repartition(F.col("full")).sortWithinPartitions("full", "thumb").foreachPartition(run)
-
-
-def write_archive(archive: Archive, path: str) -> None:
-    """Write all tables beside each other, sorted so that reads by time and thread skip row groups."""
-    archive.sites.write.parquet(f"{path}/sites.parquet")
-    archive.boards.write.parquet(f"{path}/boards.parquet")
-    archive.threads.sortWithinPartitions("creation_time").write.parquet(f"{path}/threads.parquet")
-    archive.posts.repartitionByRange("creation_time", "post_id").sortWithinPartitions("creation_time", "thread_id").write.parquet(f"{path}/posts.parquet")
-    archive.attachments.sortWithinPartitions("post_id").write.parquet(f"{path}/attachments.parquet")

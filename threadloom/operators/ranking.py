@@ -62,12 +62,12 @@ def top_threads_iterative(posts: DataFrame, as_of: datetime | str, threads: int,
 
 
 def posts_of_top_threads(posts: DataFrame, as_of: datetime | str, lookback: int) -> DataFrame:
-    """All posts of the top threads; the side that has one row a thread is as small as the lookback, so it is the one AQE may broadcast."""
-    return posts.join(top_threads(posts, as_of, lookback).select("thread_id", "bump_time"), "thread_id")
+    """All posts of the top threads; the side that has one row a thread is as small as the lookback, so it is the one AQE may broadcast. The last bumped thread comes last."""
+    return posts.join(top_threads(posts, as_of, lookback).select("thread_id", "bump_time"), "thread_id").orderBy("bump_time", "thread_id", "post_id")
 
 
 def thread_bodies(posts: DataFrame, as_of: datetime | str, lookback: int) -> DataFrame:
     """(thread_id, bodies): the bodies of each top thread in post order, nulls kept in their place."""
-    rows = posts_of_top_threads(posts, as_of, lookback)
+    rows = posts.join(top_threads(posts, as_of, lookback).select("thread_id"), "thread_id")
     ordered = F.array_sort(F.collect_list(F.struct("board_post_id", "post_id", "body")))
     return rows.groupBy("thread_id").agg(F.transform(ordered, lambda x: x["body"]).alias("bodies"))

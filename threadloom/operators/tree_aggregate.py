@@ -5,7 +5,8 @@ shuffle partition) is combined locally first: Spark's partial aggregation makes
 chunk before anything is sent. States then merge in rounds of a fixed fan-in: in round l the states of
 key k from `fan_in` neighbouring nodes meet at node chunk // fan_in^l, so a key of any weight is spread
 over chunks / fan_in tasks in the first round, and no task ever receives more than `fan_in` states of
-one key. After log_fan_in(chunks) rounds one state per key is left. Every row is counted; nothing is
+one key. After log_fan_in(chunks) rounds one state per key is left; a last round by the key alone holds even
+where the planner made more partitions than it was asked for. Every row is counted; nothing is
 sampled, and results are exact because count, sum, min and max merge exactly.
 
 Defined results: an empty input gives no rows. A null key is a key of its own in the per-key results
@@ -46,6 +47,8 @@ def tree_aggregate(df: DataFrame, key: str, measures: dict[str, tuple[str, str |
         states = states.withColumn("_node", F.floor(F.col("_node") / fan_in))
         states = states.groupBy("_k", "_node").agg(*[step[kind](f"_m_{n}").alias(f"_m_{n}") for n, (kind, _) in measures.items()])
         step = dict(_MERGE)
+    # nodes are as many as partitions, whatever the planner made of them: what is left of a key are some states at most
+    states = states.groupBy("_k").agg(*[_MERGE[kind](f"_m_{n}").alias(f"_m_{n}") for n, (kind, _) in measures.items()])
     return states.select(F.col("_k").alias(key), *[F.col(f"_m_{n}").alias(n) for n in measures])
 
 

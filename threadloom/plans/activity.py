@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from threadloom.common import table, utc
 from threadloom.operators import catalog, first_post, ranking
-from threadloom.sources.archive import STABLE, Archive, one_per_key, post_by_board_path
+from threadloom.sources.archive import Archive, post_by_board_path, rows_as_json, statistics, stored_table
 from threadloom.functions.timefn import on_day
 
 AS_OF, LATER = "2013-11-02 00:00:00", "2014-01-15 12:00:00"
 DAY = "2013-07-04"
+#: AS_OF as a clock four hours behind UTC shows it.
+AS_OF_ELSEWHERE = "2013-11-01 20:00:00 -04:00"
 
 #: One row per post, thread and attachment: what the archive's keys promise.
 P = "p AS (SELECT DISTINCT post_id, board_post_id, creation_time AT TIME ZONE 'UTC' AS creation_time, body, subject, name, email, thread_id, local_idx FROM posts)"
@@ -24,19 +26,19 @@ TOP = """top AS (SELECT max(creation_time) AS bump_time, count(*) AS post_count,
          FROM (SELECT * FROM p WHERE creation_time < TIMESTAMP '{t}' ORDER BY creation_time DESC, post_id DESC LIMIT {n}) GROUP BY thread_id)"""
 
 
-def _narrow(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Unique posts of a few columns, as times without zone."""
-    stable = [c for c in columns if c in STABLE["posts"]]
-    df = one_per_key(table(spark, d, "posts").select("post_id", *columns), ["post_id"], stable)
-    return df.withColumn("creation_time", utc("creation_time")) if "creation_time" in columns else df
-
-
 def _archive(spark: SparkSession, d: str) -> Archive:
-    a = Archive.load(spark, d)
+    """The tables as an archive holds them: one row a key, times without zone."""
+    a = Archive.stored(spark, d)
     a.posts, a.threads = a.posts.withColumn("creation_time", utc("creation_time")), a.threads.withColumn("creation_time", utc("creation_time"))
     return a
 
 
+def _narrow(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Posts of a few columns."""
+    df = stored_table(spark, d, "posts").select("post_id", *columns)
+    return df.withColumn("creation_time", utc("creation_time")) if "creation_time" in columns else df
+
+
 def _activity(spark: SparkSession, d: str) -> DataFrame:
     return _narrow(spark, d, "thread_id", "creation_time")
 
@@ -50,16 +52,12 @@ def _per_board(spark: SparkSession, d: str) -> DataFrame:
 
 def _natural(spark: SparkSession, d: str) -> DataFrame:
     a = _archive(spark, d)
-    a.posts.select("thread_id", "creation_time", "post_id").createOrReplaceTempView("_np")
-    a.threads.select("thread_id", "creation_time", "board_id").createOrReplaceTempView("_nt")
-    return spark.sql("SELECT board_id, count(*) AS posts FROM _np NATURAL JOIN _nt GROUP BY board_id")
+    return spark.sql("SELECT board_id, count(*) AS posts FROM {p} NATURAL JOIN {t} GROUP BY board_id", p=a.posts.select("thread_id", "creation_time", "post_id"), t=a.threads.select("thread_id", "creation_time", "board_id"))
 
 
 def _threads_per_board(spark: SparkSession, d: str) -> DataFrame:
     a = _archive(spark, d)
-    a.threads.select("thread_id", "board_id").createOrReplaceTempView("_nt")
-    a.boards.select("board_id", "pathpart").createOrReplaceTempView("_nb")
-    return spark.sql("SELECT board_id, pathpart, count(*) AS threads FROM _nt NATURAL JOIN _nb GROUP BY board_id, pathpart")
+    return spark.sql("SELECT board_id, pathpart, count(*) AS threads FROM {t} NATURAL JOIN {b} GROUP BY board_id, pathpart", t=a.threads.select("thread_id", "board_id"), b=a.boards.select("board_id", "pathpart"))
 
 
 def _two_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +78,7 @@ QUERIES = {
     "natural_join_counts": _natural,
     "threads_per_board": _threads_per_board,
     "top_threads": lambda s, d: ranking.top_threads(_activity(s, d), AS_OF, 1001),
+    "top_threads_offset": lambda s, d: ranking.top_threads(_activity(s, d), AS_OF_ELSEWHERE, 1001),
     "top_threads_default": lambda s, d: ranking.top_threads(_activity(s, d), LATER),
     "top_threads_cap": lambda s, d: ranking.top_threads(_activity(s, d), LATER, None),
     "top100_threads_full": lambda s, d: ranking.top_threads_exact(_activity(s, d), LATER, 100),
@@ -101,9 +100,12 @@ QUERIES = {
     "first_post_first_value": lambda s, d: first_post.by_first_value(_narrow(s, d, "thread_id", "creation_time", "body")),
     "first_post_lateral": lambda s, d: first_post.by_lateral(_activity(s, d)),
     "first_post_correlated_min": lambda s, d: first_post.by_correlated_min(_activity(s, d)),
+    **{f"first_page_{form}": lambda s, d, form=form: first_post.page(_narrow(s, d, "thread_id", "creation_time", "body"), form, LATER) for form in first_post.FORMS},
     "first_agg_udaf": lambda s, d: first_post.first_agg(_narrow(s, d, "thread_id", "board_post_id", "subject"), "thread_id", "subject", ["board_post_id", "post_id"]),
     "post_by_board_path": lambda s, d: post_by_board_path(_archive(s, d), "tech", 66_486).select("post_id", "thread_id", "board_post_id", "creation_time", "body"),
-    "attachments_per_type": lambda s, d: one_per_key(table(s, d, "attachments").select("attachment_id", "mimetype", "file_size_bytes"), ["attachment_id"]).groupBy(F.lower("mimetype").alias("mimetype")).agg(F.count("*").alias("files"), F.sum("file_size_bytes").alias("bytes")),
+    "rows_as_json": lambda s, d: rows_as_json(_narrow(s, d, "thread_id", "local_idx")),
+    "table_statistics": lambda s, d: statistics(_narrow(s, d, "thread_id", "board_post_id", "subject", "name", "email", "local_idx")),
+    "attachments_per_type": lambda s, d: stored_table(s, d, "attachments").groupBy(F.lower("mimetype").alias("mimetype")).agg(F.count("*").alias("files"), F.sum("file_size_bytes").alias("bytes")),
 }
 
 _PAGE_FIRST = """
@@ -134,6 +136,15 @@ def _iterative_sql(t: str, wanted: int, first: int, rounds: int) -> str:
     return f"WITH {', '.join(ctes)} SELECT max(creation_time) AS bump_time, count(*) AS post_count, thread_id FROM ({rows}) GROUP BY thread_id"
 
 
+def _first_page(form: str) -> str:
+    """The first posts of the top 100 threads: forms with ties keep every post of the least time."""
+    ties = form in ("rank", "min_join", "correlated_min")
+    first = "m.m = p.creation_time" if ties else "p.post_id = (SELECT q.post_id FROM q WHERE q.thread_id = p.thread_id)"
+    return f"""WITH {P}, g AS ({_FULL.format(t=LATER)} ORDER BY bump_time DESC, thread_id DESC LIMIT 100), m AS (SELECT thread_id, min(creation_time) AS m FROM p GROUP BY thread_id),
+        q AS (SELECT DISTINCT ON (thread_id) thread_id, post_id FROM p ORDER BY thread_id, creation_time, post_id)
+        SELECT bump_time, post_count, g.thread_id, p.post_id, body FROM g JOIN p ON p.thread_id = g.thread_id JOIN m ON m.thread_id = g.thread_id WHERE {first}"""
+
+
 SQL = {
     "count_posts": "SELECT count(*) AS rows, count(DISTINCT post_id) AS posts FROM posts",
     "checksum_ids": f"WITH {P} SELECT CAST(sum(post_id) AS BIGINT) AS sum_post_id, CAST(sum(board_post_id) AS BIGINT) AS sum_board_post_id FROM p",
@@ -142,6 +153,7 @@ SQL = {
     "natural_join_counts": f"WITH {P}, {T}, np AS (SELECT thread_id, creation_time, post_id FROM p), nt AS (SELECT thread_id, creation_time, board_id FROM t) SELECT board_id, count(*) AS posts FROM np NATURAL JOIN nt GROUP BY board_id",
     "threads_per_board": f"WITH {T}, nt AS (SELECT thread_id, board_id FROM t), nb AS (SELECT board_id, pathpart FROM boards) SELECT board_id, pathpart, count(*) AS threads FROM nt NATURAL JOIN nb GROUP BY board_id, pathpart",
     "top_threads": _top(AS_OF, 1001) + "SELECT * FROM top",
+    "top_threads_offset": f"WITH {P}, z AS (SELECT TIMESTAMPTZ '{AS_OF_ELSEWHERE.replace(' -', '-')}' AT TIME ZONE 'UTC' AS t) SELECT max(creation_time) AS bump_time, count(*) AS post_count, thread_id, min(creation_time) AS where_to_leave_off FROM (SELECT p.* FROM p, z WHERE creation_time < t ORDER BY creation_time DESC, post_id DESC LIMIT 1001) GROUP BY thread_id",
     "top_threads_default": _top(LATER, 10_000) + "SELECT * FROM top",
     "top_threads_cap": _top(LATER, 250_000) + "SELECT * FROM top",
     "top100_threads_full": f"WITH {P} {_FULL.format(t=LATER)} ORDER BY bump_time DESC, thread_id DESC LIMIT 100",
@@ -169,7 +181,10 @@ SQL = {
         (SELECT *, first_value(body) OVER (PARTITION BY thread_id ORDER BY creation_time, post_id) AS fb FROM p) GROUP BY thread_id""",
     "first_post_lateral": f"WITH {P} SELECT t.thread_id, f.post_id FROM (SELECT DISTINCT thread_id FROM p) t JOIN LATERAL (SELECT post_id FROM p WHERE p.thread_id = t.thread_id ORDER BY creation_time, post_id LIMIT 1) f ON true",
     "first_post_correlated_min": f"WITH {P} SELECT thread_id, post_id FROM p WHERE creation_time = (SELECT min(q.creation_time) FROM p q WHERE q.thread_id = p.thread_id)",
+    **{f"first_page_{form}": _first_page(form) for form in first_post.FORMS},
     "first_agg_udaf": f"WITH {P} SELECT thread_id, first(subject ORDER BY board_post_id, post_id) FILTER (subject IS NOT NULL) AS first FROM p GROUP BY thread_id",
     "post_by_board_path": f"WITH {P}, {T} SELECT post_id, p.thread_id, board_post_id, p.creation_time, body FROM p JOIN t ON t.thread_id = p.thread_id JOIN boards b ON b.board_id = t.board_id WHERE pathpart = 'tech' AND board_post_id = 66486",
+    "rows_as_json": f"WITH {P} SELECT '{{\"post_id\":' || post_id || ',\"thread_id\":' || thread_id || ',\"local_idx\":' || local_idx || '}}' AS json FROM p",
+    "table_statistics": f"WITH {P} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM p" for c in ("post_id", "thread_id", "board_post_id", "subject", "name", "email", "local_idx")),
     "attachments_per_type": "WITH u AS (SELECT attachment_id, any_value(mimetype) AS mimetype, any_value(file_size_bytes) AS file_size_bytes FROM attachments GROUP BY attachment_id) SELECT lower(mimetype) AS mimetype, count(*) AS files, CAST(sum(file_size_bytes) AS BIGINT) AS bytes FROM u GROUP BY lower(mimetype)",
 }

@@ -25,7 +25,6 @@ from threadloom.sources.archive import KEYS, STABLE, Archive, one_per_key
 
 SITE, URL, MEDIA = "snapshot.example", "https://snapshot.example", "/media"
 PAGE_THREADS = 100
-_POST = Window.partitionBy("post_id")
 #: A moment that divides the posts into two snapshots.
 FIRST_UNTIL = "2013-06-01 00:00:00"
 
@@ -33,8 +32,9 @@ FIRST_UNTIL = "2013-06-01 00:00:00"
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """(post_id, f: the file as JSON has it, place, path, old: given in the old fields, sha: contents or null)."""
     a = one_per_key(table(spark, d, "attachments"), KEYS["attachments"], STABLE["attachments"])
+    of_post = Window.partitionBy("post_id")
     ext, id_ = F.coalesce(media.bare(F.col("file_extension")), F.lit("")), F.col("attachment_id").cast("string")
-    a = a.withColumn("of_post", F.count("*").over(_POST)).withColumn("place", F.row_number().over(_POST.orderBy("attachment_idx", "attachment_id")))
+    a = a.withColumn("of_post", F.count("*").over(of_post)).withColumn("place", F.row_number().over(of_post.orderBy("attachment_idx", "attachment_id")))
     old = (F.col("of_post") == 1) & F.col("thumb_extension").isNull() & F.col("file_size_bytes").isNotNull() & (ext != "")
     return a.select("post_id", "place", old.alias("old"), id_.alias("id"), ext.alias("ext"), "mimetype", "file_size_bytes", F.coalesce("original_filename", F.lit("")).alias("filename"), "spoiler", "resolution", "sha256_hash", "phash")
 

@@ -1,14 +1,12 @@
 """Queries on writing: missing rows, upserts, ordinals, ids, field mappings. Each with its SQL.
 
-The incoming batches of posts are all batches of `incoming_posts`. Queries that end in `_all` read their numbers in
-every form they are written in; those of the same name without it keep to their SQL, which takes plain digits only.
+The incoming batches of posts are all batches of `incoming_posts`, with their numbers in every form they are
+written in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.common import table, utc
@@ -20,54 +18,38 @@ from threadloom.plans.activity import AS_OF, P, T, _archive, _narrow
 from threadloom.sources.archive import cascade, get_posts, max_local_idx, one_per_key, unique_violations
 
 KEYS = ["thread_id", "board_post_id"]
-Reader = Callable[[SparkSession, str], DataFrame]
-#: Incoming records as rows of posts: those whose number is written plainly.
-I = "i AS (SELECT thread_id, CAST(board_post_id AS BIGINT) AS board_post_id, min(body) AS body, min(incoming_id) AS incoming_id FROM incoming_posts WHERE regexp_full_match(board_post_id, '[0-9]+') GROUP BY 1, 2)"  # noqa: E741
-
 #: Incoming records as rows of posts: all whose number can be read.
-I_ALL = f"""i AS (SELECT thread_id, CAST(n AS BIGINT) AS board_post_id, min(body) AS body, min(incoming_id) AS incoming_id FROM (SELECT *, regexp_extract(trim(translate(board_post_id, '{WIDE[0]}', '{WIDE[1]}')), '(?i)^(?:(?:no[.]?|>>|#) *)?0*([0-9]{{1,18}})(?:[.]0*)?$', 1) AS n FROM incoming_posts) WHERE n <> '' GROUP BY 1, 2)"""
+I = f"""i AS (SELECT thread_id, CAST(n AS BIGINT) AS board_post_id, min(body) AS body, min(incoming_id) AS incoming_id FROM (SELECT *, regexp_extract(trim(translate(board_post_id, '{WIDE[0]}', '{WIDE[1]}')), '(?i)^(?:(?:no[.]?|>>|#) *)?0*([0-9]{{1,18}})(?:[.]0*)?$', 1) AS n FROM incoming_posts) WHERE n <> '' GROUP BY 1, 2)"""  # noqa: E741
 
 
 def _incoming(spark: SparkSession, d: str) -> DataFrame:
-    return _numbered(table(spark, d, "incoming_posts").where(F.col("board_post_id").rlike("^[0-9]+$")), F.col("board_post_id").cast("bigint"))
-
-
-def _incoming_all(spark: SparkSession, d: str) -> DataFrame:
-    number = number_of(F.col("board_post_id"))
-    return _numbered(table(spark, d, "incoming_posts").where(number.isNotNull()), number)
-
-
-def _numbered(df: DataFrame, number: Column) -> DataFrame:
-    return df.groupBy("thread_id", number.alias("board_post_id")).agg(F.min("body").alias("body"), F.min("incoming_id").alias("incoming_id"))
+    rows = table(spark, d, "incoming_posts").withColumn("board_post_id", number_of(F.col("board_post_id"))).where("board_post_id is not null")
+    return rows.groupBy(*KEYS).agg(F.min("body").alias("body"), F.min("incoming_id").alias("incoming_id"))
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
     return _narrow(spark, d, *KEYS)
 
 
-def _batch(spark: SparkSession, d: str, read: Reader) -> DataFrame:
-    """A batch for upserts: stored posts whose embed is asked again (changed, removed, kept), and new ones."""
-    old = one_per_key(table(spark, d, "posts").select("post_id", *KEYS, "embed"), ["post_id"])
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    """A batch for upserts: every stored post, its embed changed, removed or kept, and new ones."""
     kind = F.col("post_id") % 4
-    # the SQL of the queries without _all leaves a quarter of the stored posts out
-    old = old if read is _incoming_all else old.where(kind < 3)
-    old = old.select(*KEYS, F.when(kind == 0, F.lit("https://tube.example/new")).when(kind != 2, F.col("embed")).alias("embed"))
-    return old.unionByName(read(spark, d).select(*KEYS, F.lit(None).cast("string").alias("embed")))
+    embed = F.when(kind == 0, F.lit("https://tube.example/new")).when(kind != 2, F.col("embed"))
+    return _stored(spark, d).select(*KEYS, embed.alias("embed")).unionByName(_incoming(spark, d).select(*KEYS, F.lit(None).cast("string").alias("embed")))
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
-    return one_per_key(table(spark, d, "posts").select("post_id", *KEYS, "embed"), ["post_id"])
+    return _narrow(spark, d, *KEYS, "embed")
 
 
 E = """e AS (SELECT post_id, any_value(thread_id) AS thread_id, any_value(board_post_id) AS board_post_id, max(embed) AS embed FROM posts GROUP BY post_id),
-       n AS (SELECT thread_id, board_post_id, CASE post_id % 4 WHEN 0 THEN 'https://tube.example/new' WHEN 1 THEN embed END AS embed FROM e WHERE post_id % 4 < 3
+       n AS (SELECT thread_id, board_post_id, CASE post_id % 4 WHEN 0 THEN 'https://tube.example/new' WHEN 2 THEN NULL ELSE embed END AS embed FROM e
              UNION ALL SELECT thread_id, board_post_id, NULL FROM i)"""
-E_ALL = E.replace("WHEN 1 THEN embed END", "WHEN 2 THEN NULL ELSE embed END").replace(" WHERE post_id % 4 < 3", "")
 
 
-def _applied(spark: SparkSession, d: str, read: Reader) -> DataFrame:
+def _applied(spark: SparkSession, d: str) -> DataFrame:
     old = _stored(spark, d)
-    return upsert.apply_embed(old, upsert.embed_changed(_batch(spark, d, read), old)).select("post_id", "embed")
+    return upsert.apply_embed(old, upsert.embed_changed(_batch(spark, d), old)).select("post_id", "embed")
 
 
 def _renumbered(spark: SparkSession, d: str) -> DataFrame:
@@ -79,10 +61,10 @@ def _attachment_idx(spark: SparkSession, d: str) -> DataFrame:
     return upsert.renumber(files, "post_id", ["attachment_id"], "idx").select("attachment_id", F.col("idx").cast("bigint").alias("idx"))
 
 
-def _new_ids(spark: SparkSession, d: str, read: Reader) -> DataFrame:
+def _new_ids(spark: SparkSession, d: str) -> DataFrame:
     """What ids the missing posts get: as many different ones as rows, following the greatest."""
     start = table(spark, d, "posts").agg(F.max("post_id")).first()[0] or 0
-    new = upsert.assign_ids(upsert.missing(read(spark, d), _keys(spark, d), KEYS), "post_id", KEYS, start)
+    new = upsert.assign_ids(upsert.missing(_incoming(spark, d), _keys(spark, d), KEYS), "post_id", KEYS, start)
     return new.agg(F.count("*").alias("rows"), F.count_distinct("post_id").alias("ids"), F.min("post_id").alias("least"), F.max("post_id").alias("greatest"))
 
 
@@ -117,25 +99,17 @@ _MIMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in media.MIME.items())
 _FILES = "a AS (SELECT attachment_id, any_value(post_id) AS post_id, max(board_filename) AS board_filename, max(file_extension) AS file_extension, max(thumb_extension) AS thumb_extension, max(original_filename) AS original_filename FROM attachments GROUP BY attachment_id)"
 
 
-def _on_incoming(read: Reader) -> dict[str, Reader]:
-    """The queries that take the incoming records."""
-    return {
-        "get_posts_by_key": lambda s, d: get_posts(_keys(s, d), read(s, d)),
-        "missing_posts": lambda s, d: upsert.missing(read(s, d), _keys(s, d), KEYS).select(*KEYS, "incoming_id"),
-        "insert_ignore": lambda s, d: upsert.insert_ignore(read(s, d), _keys(s, d), KEYS).agg(F.count("*").alias("rows")),
-        "upsert_ids_v1": lambda s, d: upsert.upsert_ids(_batch(s, d, read), _stored(s, d), 1),
-        "upsert_ids_v3": lambda s, d: upsert.upsert_ids(_batch(s, d, read), _stored(s, d), 3),
-        "embed_changed": lambda s, d: upsert.embed_changed(_batch(s, d, read), _stored(s, d)),
-        "update_from": lambda s, d: _applied(s, d, read),
-        "max_local_idx": lambda s, d: max_local_idx(_narrow(s, d, "thread_id", "local_idx"), read(s, d)),
-        "assign_local_idx": lambda s, d: upsert.next_local_idx(upsert.missing(read(s, d), _keys(s, d), KEYS).select(*KEYS), _narrow(s, d, "thread_id", "local_idx")).select(*KEYS, "local_idx"),
-        "new_ids": lambda s, d: _new_ids(s, d, read),
-    }
-
-
 QUERIES = {
-    **_on_incoming(_incoming),
-    **{f"{name}_all": q for name, q in _on_incoming(_incoming_all).items()},
+    "get_posts_by_key": lambda s, d: get_posts(_keys(s, d), _incoming(s, d)),
+    "missing_posts": lambda s, d: upsert.missing(_incoming(s, d), _keys(s, d), KEYS).select(*KEYS, "incoming_id"),
+    "insert_ignore": lambda s, d: upsert.insert_ignore(_incoming(s, d), _keys(s, d), KEYS).agg(F.count("*").alias("rows")),
+    "upsert_ids_v1": lambda s, d: upsert.upsert_ids(_batch(s, d), _stored(s, d), 1),
+    "upsert_ids_v3": lambda s, d: upsert.upsert_ids(_batch(s, d), _stored(s, d), 3),
+    "embed_changed": lambda s, d: upsert.embed_changed(_batch(s, d), _stored(s, d)),
+    "update_from": lambda s, d: _applied(s, d),
+    "max_local_idx": lambda s, d: max_local_idx(_narrow(s, d, "thread_id", "local_idx"), _incoming(s, d)),
+    "assign_local_idx": lambda s, d: upsert.next_local_idx(upsert.missing(_incoming(s, d), _keys(s, d), KEYS).select(*KEYS), _narrow(s, d, "thread_id", "local_idx")).select(*KEYS, "local_idx"),
+    "new_ids": lambda s, d: _new_ids(s, d),
     "renumber_posts": _renumbered,
     "attachment_idx": _attachment_idx,
     "unique_violations": lambda s, d: unique_violations(table(s, d, "posts").select(*KEYS), KEYS),
@@ -181,4 +155,3 @@ SQL = {
     "age_epoch": f"WITH {P} SELECT post_id, round(epoch(age(date_trunc('day', TIMESTAMP '{AS_OF}'), creation_time)), 6) AS age_s FROM p",
     "epoch_times": f"WITH {P} SELECT post_id, CAST(floor(epoch(creation_time)) AS BIGINT) AS epoch_s FROM p",
 }
-SQL |= {f"{name}_all": SQL[name].replace(I, I_ALL).replace(E, E_ALL) for name in _on_incoming(_incoming_all)}

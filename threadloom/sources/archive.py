@@ -6,13 +6,14 @@ the model (unique ids) hold for everything built on it.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.common import table
+from threadloom.common import list_names, staged_root, table
 
 SITES = T.StructType().add("site_id", "integer", False).add("name", "string", False).add("url", "string", False)
 BOARDS = T.StructType().add("board_id", "integer", False).add("name", "string").add("pathpart", "string", False).add("site_id", "integer", False)
@@ -62,11 +63,57 @@ class Archive:
         raw = {t: table(spark, sf_dir, t) for t in SCHEMAS}
         return cls(**{t: df if unique or t in ("sites", "boards") else one_per_key(df, KEYS[t], STABLE[t]) for t, df in raw.items()})
 
+    @classmethod
+    def stored(cls, spark: SparkSession, sf_dir: str) -> Archive:
+        """The tables of a directory as of stored_table()."""
+        return cls(**{t: stored_table(spark, sf_dir, t) for t in SCHEMAS})
+
     @classmethod
     def empty(cls, spark: SparkSession) -> Archive:
         return cls(**{t: spark.createDataFrame([], s) for t, s in SCHEMAS.items()})
 
 
+def _ordered(name: str, df: DataFrame) -> DataFrame:
+    """A table as it is written: reads by time and thread skip row groups."""
+    if name == "posts":
+        return df.repartitionByRange("creation_time", "post_id").sortWithinPartitions("creation_time", "post_id")
+    order = {"threads": ["creation_time"], "attachments": ["post_id"]}.get(name)
+    return df.sortWithinPartitions(*order) if order else df
+
+
+def write_archive(archive: Archive, path: str, mode: str = "errorifexists") -> None:
+    """Write all tables beside each other."""
+    for name in SCHEMAS:
+        _ordered(name, getattr(archive, name)).write.mode(mode).parquet(f"{path}/{name}.parquet")
+
+
+def stored_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a directory as it lies in an archive: repeats are removed once, when it is written, and posts lie in order of time.
+
+    It is written at the first use in an application, into the folder of staged tables, and read by the later ones.
+    """
+    if name in ("sites", "boards"):
+        return table(spark, sf_dir, name)
+    path = f"{staged_root(spark)}/archive-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if "_SUCCESS" not in list_names(spark, f"{path}/{name}.parquet"):
+        raw = table(spark, sf_dir, name)
+        keys = [c for c in STABLE[name] if c in raw.columns]
+        _ordered(name, one_per_key(raw, KEYS[name], keys)).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+    return table(spark, path, name)
+
+
+def statistics(df: DataFrame) -> DataFrame:
+    """(column_name, rows, nulls, distinct_values) of every column of a table, in one pass: what an optimizer plans by."""
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("struct", "array", "map")]
+    one = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in plain], *[F.count_distinct(c).alias(f"d_{c}") for c in plain])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("rows").alias("rows"), F.col(f"n_{c}").alias("nulls"), F.col(f"d_{c}").alias("distinct_values")) for c in plain])))
+
+
+def rows_as_json(df: DataFrame) -> DataFrame:
+    """One JSON object a row, in the order of the columns; nulls are left out."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
 def all_sites(archive: Archive) -> DataFrame:
     return archive.sites
 

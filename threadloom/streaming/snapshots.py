@@ -1,38 +1,36 @@
 """Snapshots as a stream: an extension, the batch ingest run on each directory as it arrives.
 
 A text file with one snapshot directory per line is a source of directories; each micro-batch ingests its
-directories in order. The archive is written as a new version before the pointer to it moves, so a failed
+directories in order. The archive is written as a new version before its name is published, so a failed
 batch leaves the version before it, and the same batch run again adds nothing.
 """
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.operators.ingest import Report, ingest, write_archive
-from threadloom.sources.archive import Archive
+from threadloom.common import list_names, write_text
+from threadloom.operators.ingest import Report, ingest
+from threadloom.sources.archive import Archive, write_archive
 from threadloom.sources.snapshot import Settings
 
 
 def current(spark: SparkSession, store: str) -> Archive:
-    """The archive a store points to, or an empty one."""
-    pointer = Path(store, "current")
-    return Archive.load(spark, f"{store}/{pointer.read_text().strip()}", unique=True) if pointer.exists() else Archive.empty(spark)
+    """The archive a store published last, or an empty one."""
+    published = list_names(spark, f"{store}/published")
+    return Archive.load(spark, f"{store}/{published[-1]}", unique=True) if published else Archive.empty(spark)
 
 
 def ingest_all(spark: SparkSession, directories: list[str], settings: Settings, store: str, version: str) -> list[Report]:
-    """Ingest directories in their order and publish the result as a version of the store."""
+    """Ingest directories in their order and publish the result as a version of the store; a version that is published stays as it is."""
+    if version in list_names(spark, f"{store}/published"):
+        return []
     archive, reports = current(spark, store), []
     for d in directories:
         archive, report = ingest(spark, Settings(d, settings.media_root_path, settings.site_name, settings.site_url), archive, strict=False)
         reports.append(report)
-    if not Path(store, version).exists():
-        write_archive(archive, f"{store}/{version}")
-    part = Path(store, "current.part")
-    part.write_text(version)
-    part.rename(Path(store, "current"))
+    write_archive(archive, f"{store}/{version}", mode="overwrite")
+    write_text(spark, f"{store}/published/{version}", "")
     return reports
 
 
