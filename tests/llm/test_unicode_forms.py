@@ -46,7 +46,7 @@ def test_is_nfc_and_idempotent(text):
 _CANON = u.Canonical(u.mapping_tables())
 
 
-def test_expressions_equal_arrays(spark, canon):
+def test_expressions_equal_arrays(spark, canon, monkeypatch):
     """The plan and the arrays in Python agree, on all kinds of characters, alone and mixed."""
     import random
 
@@ -55,6 +55,9 @@ def test_expressions_equal_arrays(spark, canon):
     texts = [t for p in SAME + APART for t in p] + ["".join(rnd.choices(alphabet, k=rnd.randint(1, 14))) for _ in range(600)]
     rows = list(enumerate(texts))
     got = {r.doc_id: r.text_norm for r in u.canonical_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(u, "BROADCAST_CLUSTERS", 0)
+        assert {r.doc_id: r.text_norm for r in u.canonical_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == got
     bad = [(t, got[i], f) for (i, t), f in zip(rows, canon(texts)) if got[i] != f]
     assert not bad, bad[:5]
 

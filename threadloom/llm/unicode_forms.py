@@ -290,7 +290,7 @@ def _pieces(texts: DataFrame) -> DataFrame:
     r = _rules()
     text = F.col("_text")
     for joiner, stand_in in _KEPT.items():
-        text = F.regexp_replace(text, f"(?<=[{_SHAPED}]\ufe0f?){joiner}", stand_in)
+        text = F.when(text.contains(joiner), F.regexp_replace(text, f"{joiner}(?<=[{_SHAPED}]\ufe0f?{joiner})", stand_in)).otherwise(text)
     text = F.regexp_replace(text, f"(?=[^{_PLAIN}])[{r['gone']}]", "")
     hangul = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]"
     pattern = f"[{_PLAIN}]+(?![{r['marks']}])|(?:{hangul})|[^{r['active']}{_PLAIN}\\x{{AC00}}-\\x{{D7A3}}]+(?![{r['marks']}])|(?s:.)[{r['marks']}]*"
@@ -343,11 +343,14 @@ def forms_of(docs: DataFrame) -> DataFrame:
     texts = docs.where(~_is_plain()).groupBy(_key(F.col("_text")).alias("key")).agg(F.first("_text").alias("_text"))
     pieces = _pieces(texts)
     clusters = stage(_clusters(pieces), "p8-clusters")
-    few = F.broadcast if clusters.count() <= BROADCAST_CLUSTERS else (lambda df: df)
-    known = docs.sparkSession.createDataFrame(_rules()["forms"], "piece string, form string")
-    single = pieces.where(~_marked()).join(F.broadcast(known), "piece", "left").select("key", "pos", F.coalesce("form", "piece").alias("s"))
-    several = pieces.where(_marked()).join(few(clusters), "piece").select("key", "pos", F.col("form").alias("s"))
-    rebuilt = single.unionByName(several).groupBy("key").agg(_joined("pos", "s").alias("text_norm"))
+    known = F.broadcast(docs.sparkSession.createDataFrame(_rules()["forms"], "piece string, form string"))
+    if clusters.count() <= BROADCAST_CLUSTERS:
+        marked = F.broadcast(clusters.withColumnRenamed("form", "marked"))
+        whole = pieces.join(known, "piece", "left").join(marked, "piece", "left").select("key", "pos", F.coalesce("marked", "form", "piece").alias("s"))
+    else:
+        single = pieces.where(~_marked()).join(known, "piece", "left").select("key", "pos", F.coalesce("form", "piece").alias("s"))
+        whole = single.unionByName(pieces.where(_marked()).join(clusters, "piece").select("key", "pos", F.col("form").alias("s")))
+    rebuilt = whole.groupBy("key").agg(_joined("pos", "s").alias("text_norm"))
     # a text of invisible characters only has no piece
     return texts.select("key").join(rebuilt, "key", "left").select("key", F.coalesce("text_norm", F.lit("")).alias("text_norm"))
 
