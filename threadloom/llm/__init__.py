@@ -18,11 +18,15 @@ QUERIES = {
     "p4_groups": near_dup.p4_groups,
     "p5_found": pii.p5_found,
     "p5_redacted": pii.p5_redacted,
+    "p5_check": pii.p5_check,
     "p6_ids": tokens.p6_ids,
+    "p6_decoded": tokens.p6_decoded,
     "p7_containers": packing.p7_containers,
+    "p7_check": packing.p7_check,
     "p8_found": unicode_forms.p8_found,
     "p8_normalized": unicode_forms.p8_normalized,
+    "p8_stable": unicode_forms.p8_stable,
 }
 
-#: Queries whose result SQL can state over whole tables.
-SQL: dict[str, str] = {}
+#: Queries whose result SQL can state over whole tables: round trips and what holds of every result.
+SQL: dict[str, str] = pii.SQL | tokens.SQL | packing.SQL | unicode_forms.SQL

@@ -114,3 +114,21 @@ def p7_containers(spark: SparkSession, sf_dir: str, tokenizer_dir: str = TOKENIZ
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = stage(encode_ids(docs, tokenizer_dir=tokenizer_dir, counts_only=True), "p7-sizes")
     return pack(sizes, "doc_id", "n_tokens")
+
+
+def p7_check(spark: SparkSession, sf_dir: str, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+    """One row on p7_containers: its documents, texts without a place, containers too full, places that overlap, documents whose tokens are not all placed once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = stage(encode_ids(docs, tokenizer_dir=tokenizer_dir, counts_only=True), "p7-sizes")
+    placed = stage(pack(sizes, "doc_id", "n_tokens"), "p7-placed")
+    inside = placed.where("container is not null")
+    order = Window.partitionBy("container").orderBy("place")
+    boxes = inside.withColumn("free", F.col("place") - F.coalesce(F.lag(F.col("place") + F.col("n_tokens")).over(order), F.lit(0))).groupBy("container").agg(F.sum("n_tokens").alias("n"), F.min("free").alias("free"))
+    boxes = boxes.agg(F.count_if(F.col("n") > CAPACITY).alias("too_full"), F.count_if(F.col("free") < 0).alias("overlapping"))
+    whole = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max("from_token").alias("last"))
+    lost = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("want")).join(whole, "doc_id", "left")
+    lost = lost.agg(F.count("*").alias("documents"), F.count_if(F.col("want") == 0).alias("without_place"), F.count_if(~F.col("want").eqNullSafe(F.col("n")) | (F.col("last") != (F.col("pieces") - 1) * CAPACITY)).alias("not_whole"))
+    return lost.join(boxes, F.lit(True)).select("documents", "without_place", "not_whole", "too_full", "overlapping")
+
+
+SQL = {"p7_check": "SELECT count(*) AS documents, count(*) FILTER (coalesce(text, '') = '') AS without_place, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS overlapping FROM documents"}

@@ -487,3 +487,40 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = spark.read.parquet(f"{sf_dir}/posts.parquet")
     key = spark.conf.get("threadloom.pii.key", None) or secrets.token_hex(32)
     return redact(posts, spark.read.parquet(f"{sf_dir}/personal_names.parquet"), key.encode())
+
+
+def p5_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on p5_redacted: rows, null and empty fields, and entities of which a word or number stays though it says no kind."""
+    posts = spark.read.parquet(f"{sf_dir}/posts.parquet")
+    names = spark.read.parquet(f"{sf_dir}/personal_names.parquet")
+    key = secrets.token_bytes(32)
+    out = redact(posts, names, key)
+    counts = out.agg(F.count("*").alias("rows"), *[F.count_if(F.col(f).isNull()).alias(f"null_{f}") for f in FIELDS], *[F.count_if(F.col(f) == "").alias(f"empty_{f}") for f in FIELDS])
+    found = _spans(_long_texts(posts, "post_id", FIELDS), names, FIELDS, True)
+    texts = posts.select(F.col("post_id").alias("_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])).alias("t")).select("_id", "t.field", "t.text")
+    entities = found.join(texts.distinct(), ["_id", "field"]).select("pii_type", "form", F.expr("substring(text, start + 1, end - start)").alias("entity")).distinct()
+    made = Surrogates(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, forms, entities = (b.column(i).to_pylist() for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array([len(left_of(e, made.write(e, k, f, 0), k)) for k, f, e in zip(kinds, forms, entities)], pa.int32())], names=["left"])
+
+    leaks = entities.mapInArrow(run, "left int").agg(F.count_if(F.col("left") > 0).alias("leaks"))
+    return counts.join(leaks, F.lit(True))
+
+
+def left_of(entity: str, surrogate: str, kind: str) -> set[str]:
+    """Words and numbers of an entity that its surrogate still has in their place, other than those that say the kind."""
+    cut = lambda t: re.findall(r"\d+|[^\W\d_]+", t.lower())
+    old, new = cut(entity), cut(surrogate)
+    if kind == "email":
+        return {w for w in old if w in new and len(w) > 3 and w not in ("example", "commat")}
+    stays = {"street_address": _STREET_SET | _DIRECTION_SET | UNIT_WORDS, "person_name": {"dr", "mr", "mrs", "ms", "prof"}}.get(kind, set())
+    lead = 1 if kind == "phone" else 0  # country or kind of a phone number
+    return {a for i, (a, b) in enumerate(zip(old, new)) if a == b and a not in stays and i >= lead and not (kind == "phone" and (len(a) < 3 or a in DIGIT_WORDS))}
+
+
+SQL = {
+    "p5_check": "SELECT count(*) AS rows, " + ", ".join(f"count(*) FILTER ({f} IS NULL) AS null_{f}, count(*) FILTER ({f} = '') AS empty_{f}" for f in FIELDS) + ", CAST(0 AS BIGINT) AS leaks FROM posts",
+}

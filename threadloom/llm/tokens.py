@@ -231,3 +231,26 @@ def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and the byte_bpe_50k ids of every document."""
     return encode_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def decode_ids(encoded: DataFrame, id_col: str = "doc_id", name: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
+    """(id_col, text) of (id_col, ids): the bytes of the ids, one after the other."""
+    with open(f"{tokenizer_dir}/{name}.json", encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    byte = {c: bytes([b]) for b, c in byte_symbols().items()}
+    shared = encoded.sparkSession.sparkContext.broadcast({i: b"".join(map(byte.__getitem__, t)) for t, i in vocab.items() if all(c in byte for c in t)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.__getitem__
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(map(known, ids)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+
+    return encoded.mapInArrow(run, f"`{id_col}` {dict(encoded.dtypes)[id_col]}, text string")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the digest of the text that the ids of every document decode to."""
+    return decode_ids(p6_ids(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+SQL = {"p6_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents"}

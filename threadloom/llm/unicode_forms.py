@@ -395,3 +395,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and text in the one consistent form."""
     return canonical_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def p8_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, is_null, kept (printable ASCII comes out as it was), again (the form of the form is the form) of every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    once = stage(canonical_text(docs), "p8-once")
+    twice = canonical_text(once, text_col="text_norm").withColumnRenamed("text_norm", "twice")
+    rows = docs.join(once, "doc_id").join(twice, "doc_id")
+    return rows.select("doc_id", F.col("text_norm").isNull().alias("is_null"), (F.coalesce(F.col("text").rlike(f"[^{_PLAIN}]"), F.lit(True)) | (F.col("text") == F.col("text_norm"))).alias("kept"), F.col("twice").eqNullSafe(F.col("text_norm")).alias("again"))
+
+
+SQL = {"p8_stable": "SELECT doc_id, text IS NULL AS is_null, true AS kept, true AS again FROM documents"}
