@@ -19,6 +19,7 @@ CASES = [
     ("driver's licence D157-7077-2326", "id_number", "D157-7077-2326"), ("personal identity number 646750+9004", "id_number", "646750+9004"), ("my social is 947 33 1092", "id_number", "947 33 1092"),
     ("at 113 Oakworth Rd, Sandford", "street_address", "113 Oakworth Rd"), ("Flat 31, 67 Hatherley Lane", "street_address", "Flat 31, 67 Hatherley Lane"), ("at 50, OAKRIDGE STREET", "street_address", "50, OAKRIDGE STREET"),
     ("at 19 North Wexcombe Terrace.", "street_address", "19 North Wexcombe Terrace"), ("old 184 oakley close x", "street_address", "184 oakley close"),
+    ("at 12 Elm Street, x", "street_address", "12 Elm Street"), ("to 5 Church Tower Ave.", "street_address", "5 Church Tower Ave."),
     ("regards, Norric Oakley", "person_name", "Norric Oakley"), ("by Dr. Pelwen A. Kettleworth-Oakridge.", "person_name", "Dr. Pelwen A. Kettleworth-Oakridge"), ("OAKLEY, Norisa", "person_name", "OAKLEY, Norisa"),
     ("it was K. Wexley who", "person_name", "K. Wexley"), ("by davisa ashford", "person_name", "davisa ashford"), ("by Gareth Oakley", "person_name", "Gareth Oakley"),
     # made of parts of listed names, in the list as neither
@@ -27,7 +28,7 @@ CASES = [
 NONE = [
     "root@deckbox:~$ ls", "pin it to jacket@2.4.341", "@home", "user@", "@everyone", "Norric was here", "Oakley alone", "norric_oakley", "Captain Modem", "invoice 939-42-5528 from", "serial is 287 661 9694",
     "build 5818804871 fails", "ticket 793168-7065", "part number 644-73-6180, ", "unix time 5203758481", "see >>85511157", "version 2.18.10", "3 road trips and 358 street photos", "after 257 pm", "", None,
-    "2014-03-24 10:22:31", "192.168.100.200", "at the corner of some dot", "passport photos 12", "I. e. nothing", "12 stony roads",
+    "2014-03-24 10:22:31", "192.168.100.200", "at the corner of some dot", "passport photos 12", "I. e. nothing", "12 stony roads", "24 Hours Dr. Who", "999 minutes old place", "7 Elm St John", "3 Oak trees on Main Street",
 ]
 
 

@@ -191,13 +191,16 @@ class Detector:
         return sorted(found)
 
     def is_street(self, m: re.Match) -> bool:
-        """A house number before a proper street name: a known or capitalised name, not a count of things."""
+        """A house number before a proper street name: known names, or capitalised words before a capitalised street word; not a count of things."""
         name = m[3]
         words = name.lower().split(" ")
         if all(map(self.parts.family.__getitem__, words)):
             return True
-        kind = re.search(rf"({STREET_WORDS})\b", m[0][m.end(3) - m.start() :], re.I)
-        return len(words) == 1 and bool(m[2]) and name[0].isupper() and kind[1][0].isupper()
+        kind = re.search(rf"({STREET_WORDS})\b\.?", m[0][m.end(3) - m.start() :], re.I)
+        if not (all(w[0].isupper() for w in name.split(" ")) and kind[1][0].isupper()) or words[0] in COUNTED:
+            return False
+        # a title or a saint before a name is no street word
+        return kind[1].lower() not in ("dr", "st") or not re.match(r" [A-Z]", m.string[m.end() :])
 
     @staticmethod
     def email_form(m: re.Match) -> str:
@@ -222,6 +225,8 @@ SYLLABLES = {
     "cyrillic": ("б в г д ж з к л м н п р с т ф х ц".split(), "а е и о у".split(), "л н р с т м".split(), ("ия", "ина", "ела"), ("ор", "ан", "ус")),
     "greek": ("β γ δ ζ θ κ λ μ ν ξ π ρ σ τ φ χ ψ".split(), "α ε ι ο υ".split(), "λ ν ρ ς ν ς".split(), ("ία", "ινα", "ελη"), ("ος", "ης", "ας")),
 }
+#: Words after a number that counts things.
+COUNTED = set("seconds minutes hours days weeks months years times people men women kids posts threads pages photos files pieces items dollars euros pounds miles feet metres more other".split())
 UNIT_WORDS = {"flat", "apt", "apartment", "unit", "suite"}
 TITLE = re.compile(r"(?:dr|mr|mrs|ms|prof)\.? ", re.I)
 #: Draws of one length before surrogates get longer.
