@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from threadloom.__main__ import main
 from threadloom.operators import search
 from threadloom.operators.ingest import DuplicateKeys, copy_files, copy_plan, ingest
 from threadloom.sources import snapshot
@@ -114,3 +115,16 @@ def test_settings(tmp_path):
     p.write_text("{}")
     with pytest.raises(ValueError):
         snapshot.Settings.read(str(p))
+
+
+def test_command(spark, site, tmp_path, capsys, monkeypatch):
+    _, settings = site
+    (tmp_path / "settings.json").write_text(json.dumps(settings.__dict__))
+    monkeypatch.chdir(tmp_path)
+    assert main(["--store", str(tmp_path / "store")], spark) == 0
+    assert main(["settings.json", "--store", str(tmp_path / "store")], spark) == 0
+    first, second = capsys.readouterr().out.splitlines()
+    assert "'posts': 5" in first and "'posts': 0" in second and "rejected files 1" in second
+    assert current(spark, str(tmp_path / "store")).posts.count() == 5
+    assert search.hits(search.read_index(spark, str(tmp_path / "store" / "search")), "late", "2024-06-01").count() == 1
+    assert main(["missing.json", "--store", "x"], spark) == 1

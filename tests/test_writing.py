@@ -18,5 +18,5 @@ def test_numbers_in_all_forms_are_written(spark, tmp_path):
 def test_batch_has_every_stored_post(spark, tmp_path):
     spark.createDataFrame([], "incoming_id long, thread_id long, board_post_id string, body string").write.parquet(f"{tmp_path}/incoming_posts.parquet")
     spark.createDataFrame([(i, 5, i, "e", None) for i in range(8)], "post_id long, thread_id long, board_post_id long, embed string, creation_time timestamp").write.parquet(f"{tmp_path}/posts.parquet")
-    rows = writing.QUERIES["upsert_ids_v3_all"](spark, str(tmp_path)).collect()
+    rows = writing.QUERIES["upsert_ids_v3"](spark, str(tmp_path)).collect()
     assert sorted((r.post_id, r.action) for r in rows) == [(i, "updated" if i % 4 in (0, 2) else "selected") for i in range(8)]

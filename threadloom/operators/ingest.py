@@ -54,7 +54,7 @@ def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, s
 
     strict: a key that a batch repeats is an error; else its first row is taken. phash: a function from a
     column of file paths to a column of perceptual hashes, where a decoder of pictures is at hand. index: a
-    folder of search postings, to which those of the new posts are added.
+    folder of this run's own for the search postings of the new posts; folders side by side are one index.
     """
     root = settings.backup_read_root.rstrip("/")
     added: dict[str, int] = {}
@@ -100,7 +100,7 @@ def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, s
     posts, new = append("posts", archive.posts, upsert.assign_ids(new, "post_id", keys, _greatest(archive.posts, "post_id")), keys)
 
     if index and added["posts"]:
-        search.build_index(new.withColumn("creation_time", utc("creation_time")), index, config, mode="append")
+        search.build_index(new.withColumn("creation_time", utc("creation_time")), index, config, mode="overwrite")
 
     # attachments: known by post and name; only files that exist
     ids = posts.join(of_snapshot.select("thread_id"), "thread_id", "left_semi").select("post_id", "thread_id", F.col("board_post_id").alias("no"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.common import moment, utc
@@ -55,8 +55,10 @@ def build_index(posts: DataFrame, path: str, config: str = "english", mode: str
     rows.repartitionByRange("folder", "term", "post_id").sortWithinPartitions("folder", "term", "post_id").write.mode(mode).option("compression", "zstd").partitionBy("folder").parquet(path)
 
 
-def read_index(spark, path: str) -> DataFrame:
-    return spark.read.schema("term string, post_id long, creation_time timestamp_ntz, places array<struct<pos: int, weight: string>>, folder int").parquet(path)
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index, or all indexes in folders `run=...` of a folder."""
+    schema = "term string, post_id long, creation_time timestamp_ntz, places array<struct<pos: int, weight: string>>, folder int"
+    return spark.read.schema(schema).parquet(path).select("term", "post_id", "creation_time", "places", "folder")
 
 
 def reindexed(index: DataFrame, changed: DataFrame, config: str = "english") -> DataFrame:
