@@ -53,8 +53,8 @@ def test_equals_brute_force(spark):
 def test_plans(spark, monkeypatch):
     """More places a band and more bands for more texts, with the same chance to meet a pair; and the same pairs."""
     assert n.band_plan(0) == n.band_plan(2_000_000) == (n.BANDS, n.ROWS)
-    for texts in (2_000_001, 16_000_001, 10**9):
-        bands, rows = n.band_plan(texts)
+    for count in (2_000_001, 16_000_001, 10**9):
+        bands, rows = n.band_plan(count)
         assert rows > n.ROWS and abs((1 - n.SIMILARITY**rows) ** bands - (1 - n.SIMILARITY**n.ROWS) ** n.BANDS) < 0.001
     monkeypatch.setattr(n, "FIRST_PLAN", 1)
     rows = texts()
