@@ -120,3 +120,14 @@ def test_components(spark, edges):
         if a != b:
             parent[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in list(parent) if find(x) != x}
+
+
+def test_more_places_than_a_byte_counts():
+    """Plans for very many texts have more than 255 places: a set of few words fills them in rounds beyond 255, which have their own values."""
+    places = n.band_plan(10**8)[0] * n.band_plan(10**8)[1]
+    words = np.arange(1, 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sig = n.signatures(np.concatenate([words, words[:2], words]), np.repeat([0, 1, 2], [3, 2, 3]), 3, places)
+    assert places > 255 and (sig[0] == sig[2]).all() and (sig < 0xFFFFFFFF).all()
+    assert abs((sig[0] == sig[1]).mean() - 2 / 3) < 0.08
+    low = 32 - places.bit_length()
+    assert (sig[0] >> low).max() > 255

@@ -75,8 +75,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def signatures(words: np.ndarray, owner: np.ndarray, n: int, places: int = PLACES) -> np.ndarray:
     """SuperMinHash of n sets: words (uint64 hashes), the set each belongs to; returns uint32[n, places].
 
-    A value is round << 24 | 24 random bits, so its order is that of round + r.
+    A value is round << 24 | 24 random bits, so its order is that of round + r; where there are more than 255
+    places, the round has as many bits as it needs and the rest are random.
     """
+    low = min(24, 32 - places.bit_length())
     sig = np.full((n, places), 0xFFFFFFFF, np.uint32)
     flat = sig.reshape(-1)
     distinct, which = np.unique(words, return_inverse=True)
@@ -89,10 +91,10 @@ def signatures(words: np.ndarray, owner: np.ndarray, n: int, places: int = PLACE
         place = perm[rows, k]
         perm[rows, k] = perm[:, j]
         perm[:, j] = place
-        value = (np.uint64(j) << np.uint64(24) | rnd >> np.uint64(40)).astype(np.uint32)
+        value = (np.uint64(j) << np.uint64(low) | rnd >> np.uint64(64 - low)).astype(np.uint32)
         np.minimum.at(flat, base + place[which], value[which])
         if j >= 3:
-            live = (sig >= np.uint32(j + 1 << 24)).any(axis=1)
+            live = (sig >= np.uint32(j + 1 << low)).any(axis=1)
             if not live.any():
                 break
             keep = live[owner]
