@@ -97,3 +97,16 @@ def test_plan_follows_best_fit():
 def test_repeated_ids_are_items(spark):
     df = spark.createDataFrame([(1, 5), (1, 5), (1, 5)], "id long, n int")
     assert sorted(r.place for r in packing.pack(df, "id", "n", 15).collect()) == [0, 5, 10]
+
+
+def test_no_row_holds_a_whole_batch(spark, reference, monkeypatch):
+    """Texts of a batch lie in pieces of bounded size, with its words in the first row; the ids are the same."""
+    monkeypatch.setattr(tokens, "PIECE_WORDS", 10)
+    texts = [f"one two three text{i} " * (i % 4) for i in range(60)] + [None, "", "long " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = tokens.dictionary_batches(df, "doc_id", "text").collect()
+    assert len({r.batch for r in rows}) == 1 and len(rows) > 20 and [bool(r.words) for r in rows] == [True] + [False] * (len(rows) - 1)
+    assert all(sum(r.sizes) <= 10 or len(r.sizes) == 1 for r in rows)
+    want = {i: reference.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    assert {r.doc_id: list(r.ids) for r in tokens.encode_ids(df).collect()} == want
+    assert {r.doc_id: r.n_tokens for r in tokens.encode_ids(df, counts_only=True).collect()} == {i: len(x) for i, x in want.items()}

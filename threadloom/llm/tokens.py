@@ -8,7 +8,8 @@
    neighbours. Merges never cross words, so the distinct words are spread over tasks by hash, and each
    word of the corpus is replayed once.
 3. The words' ids are joined back to the batches (one row for each different word of a batch, not for
-   each word of a text), and each batch puts its texts' ids together.
+   each word of a text). Tasks read each batch as a sorted stream, first its words' ids and then its texts
+   in pieces, and put the texts' ids together; no row holds a whole batch.
 
 Shuffled are the distinct words of the batches and the numbers of the words. The only thing sent to the
 executors is the vocabulary, whose size is fixed.
@@ -43,6 +44,10 @@ ASCII_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Texts of a dictionary batch at most, and bytes of text, about; words replayed together; texts put out together; batches of one task, on average. Memory only.
 BATCH_ROWS, BATCH_BYTES, REPLAY_WORDS, OUT_ROWS, TASK_BATCHES = 4096, 6_000_000, 20_000, 1024, 2
+#: Words of the texts in a piece of a batch, about (a longer text is a piece of its own); pieces in a file. A reader of such files takes all rows of one at once. Memory only.
+PIECE_WORDS, FILE_PIECES = 50_000, 64
+#: The number of a row that holds texts: after those of all words.
+TEXTS = (1 << 31) - 1
 
 
 def byte_symbols() -> dict[int, str]:
@@ -158,74 +163,113 @@ def _strings(words: list[str]) -> pa.Array:
     return pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary())
 
 
+def narrow(most: int) -> type:
+    """The narrower type for numbers from 0 to `most`."""
+    return np.uint16 if most < 1 << 16 else np.int32
+
+
+def values_of(column: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(how many numbers each value has, the numbers of all values in turn) of a column of their bytes without nulls."""
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    numbers = np.frombuffer(data, kind, (edges[-1] - edges[0]) // kind().itemsize, edges[0]) if data and edges[-1] > edges[0] else np.empty(0, kind)
+    return np.diff(edges).astype(np.int64) // kind().itemsize, numbers
+
+
 def dictionary_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(batch, ids, sizes, flat, words): some thousand texts a row."""
-    id_type, rows, size = docs.schema[id_col].dataType.simpleString(), BATCH_ROWS, BATCH_BYTES
+    """(batch, ids, sizes, flat, words): some thousand texts a batch, a piece of them a row; the first row of a batch has its words.
+
+    flat are the numbers of the texts' words as bytes, two or four each: whole they are copied where a list is by element.
+    """
+    id_type, rows, size, piece = docs.schema[id_col].dataType.simpleString(), BATCH_ROWS, BATCH_BYTES, PIECE_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         for whole in batches:
             for batch in parts(whole, [1], rows, size):
                 words = cut(batch.column(1).to_pylist())
                 distinct, flat = dictionary(words)
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                sizes = pa.array(np.fromiter(map(len, words), np.int32, len(words)))
-                key = pa.array([uuid.uuid4().int & (1 << 63) - 1], pa.int64())
-                yield pa.RecordBatch.from_arrays([key, one(batch.column(0)), one(sizes), one(pa.array(flat)), one(_strings(distinct))], names=["batch", "ids", "sizes", "flat", "words"])
-
-    out = f"batch long, ids array<{id_type}>, sizes array<int>, flat array<int>, words array<binary>"
+                sizes = np.fromiter(map(len, words), np.int32, len(words))
+                ends = np.cumsum(sizes, dtype=np.int64)
+                key, start = pa.array([uuid.uuid4().int & (1 << 63) - 1], pa.int64()), 0
+                while start < len(sizes):
+                    before = ends[start - 1] if start else 0
+                    end = max(start + 1, int(np.searchsorted(ends, before + piece, side="right")))
+                    ids, mine = batch.column(0).slice(start, end - start), flat[before : ends[end - 1]].astype(narrow(len(distinct)))
+                    yield pa.RecordBatch.from_arrays([key, one(ids), one(pa.array(sizes[start:end])), pa.array([mine.tobytes()], pa.binary()), one(_strings([] if start else distinct))], names=["batch", "ids", "sizes", "flat", "words"])
+                    start = end
+
+    out = f"batch long, ids array<{id_type}>, sizes array<int>, flat binary, words array<binary>"
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, out)
 
 
+def id_kind(model: tuple[list[int], dict[int, tuple[int, int]]]) -> type:
+    """The type of all ids of load_merges()."""
+    return narrow(max(chain(model[0], (i for _, i in model[1].values()))))
+
+
 def replay_words(words: DataFrame, name: str, tokenizer_dir: str) -> DataFrame:
-    """(word, tokens array<int>) of distinct words (word)."""
-    shared, most = words.sparkSession.sparkContext.broadcast(load_merges(name, tokenizer_dir)), REPLAY_WORDS
+    """(word, tokens: bytes of its ids, each of kind()) of distinct words (word)."""
+    model, most = load_merges(name, tokenizer_dir), REPLAY_WORDS
+    shared, kind = words.sparkSession.sparkContext.broadcast(model), id_kind(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in parts(whole, [0], most):
                 got = replay([w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()], *shared.value)
-                offsets = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                flat = pa.array(np.fromiter(chain.from_iterable(got), np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["word", "tokens"])
+                offsets = (np.cumsum([0, *map(len, got)]) * kind().itemsize).astype(np.int32)
+                flat = np.fromiter(chain.from_iterable(got), kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.BinaryArray.from_buffers(pa.binary(), len(got), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])], names=["word", "tokens"])
 
-    return words.mapInArrow(run, "word binary, tokens array<int>")
+    return words.mapInArrow(run, "word binary, tokens binary")
 
 
 def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR, counts_only: bool = False) -> DataFrame:
     """(id_col, ids array<int>) of each row; with counts_only (id_col, n_tokens int)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = stage(dictionary_batches(docs, id_col, text_col), "token-batches")
+    texts = stage(dictionary_batches(docs, id_col, text_col), "token-batches", maxRecordsPerFile=FILE_PIECES)
     words = stage(replay_words(texts.select(F.explode("words").alias("word")).distinct(), name, tokenizer_dir), "token-words")
     # one row for each different word of a batch meets the words of the corpus
     # as many tasks as batches ask for, so that a task holds some of them at any size of the corpus
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // TASK_BATCHES))
-    met = texts.select("batch", F.posexplode("words").alias("number", "word")).join(words, "word").repartition(tasks, "batch")
-    met = met.groupBy("batch").agg(F.collect_list(F.struct("number", "tokens")).alias("met"))
-    joined = texts.select("batch", "ids", "sizes", "flat").repartition(tasks, "batch").join(met, "batch", "left").select("ids", "sizes", "flat", "met.number", "met.tokens")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.select("batch").distinct().count() // TASK_BATCHES))
+    kind = id_kind(load_merges(name, tokenizer_dir))
+    ids_of = F.expr(f"cast(octet_length(tokens) div {kind().itemsize} as int)") if counts_only else F.col("tokens")
+    met = texts.select("batch", F.posexplode("words").alias("number", "word")).join(words.select("word", ids_of.alias("tokens")), "word").select("batch", "number", "tokens")
+    rows = met.unionByName(texts.select("batch", F.lit(TEXTS).alias("number"), "ids", "sizes", "flat"), allowMissingColumns=True)
+    rows = rows.repartition(tasks, "batch").sortWithinPartitions("batch", "number")
 
     together = OUT_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, met, known, ends = None, [], None, None
         for batch in batches:
-            for ids, sizes, flat, number, tokens in zip(*batch.columns):
-                known, ends = np.empty(0, np.int32), np.zeros(0, np.int64)
-                if number.is_valid and len(number.values):
-                    # the words in the order of their numbers
-                    order = np.argsort(number.values.to_numpy())
-                    tokens = tokens.values.take(pa.array(order))
-                    known, ends = tokens.flatten().to_numpy(), np.cumsum(tokens.value_lengths().to_numpy())
-                n, out = unfold(flat.values.to_numpy(), sizes.values.to_numpy(), known, ends, counts_only)
-                if counts_only:
-                    yield pa.RecordBatch.from_arrays([ids.values, pa.array(n)], names=[id_col, "n_tokens"])
+            keys, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy() == TEXTS
+            tokens, texts = batch.column(2), batch.columns[3:]
+            edges = np.flatnonzero((np.diff(keys) != 0) | (np.diff(is_text.view(np.int8)) != 0)) + 1
+            for start, stop in zip([0, *edges], [*edges, len(keys)]):
+                if start == stop:
+                    continue
+                if keys[start] != key:
+                    key, met, known = keys[start], [], None
+                if not is_text[start]:
+                    met.append(tokens.slice(start, stop - start))
                     continue
-                at = np.concatenate([[0], np.cumsum(n)])
-                for a in range(0, len(n), together):
-                    b = min(len(n), a + together)
-                    lists = pa.ListArray.from_arrays(pa.array((at[a : b + 1] - at[a]).astype(np.int32)), pa.array(out[at[a] : at[b]]))
-                    yield pa.RecordBatch.from_arrays([ids.values.slice(a, b - a), lists], names=[id_col, "ids"])
+                if known is None:  # all words of the batch were before
+                    got = [(t.to_numpy(), np.empty(0, kind)) if counts_only else values_of(t, kind) for t in met]
+                    ends, known, met = np.cumsum(np.concatenate([np.empty(0, np.int64), *(n for n, _ in got)])), np.concatenate([np.empty(0, kind), *(x for _, x in got)]), []
+                for ids, sizes, flat in zip(*(c.slice(start, stop - start) for c in texts)):
+                    n, out = unfold(np.frombuffer(flat.as_buffer(), narrow(len(ends))), sizes.values.to_numpy(), known, ends, counts_only)
+                    if counts_only:
+                        yield pa.RecordBatch.from_arrays([ids.values, pa.array(n)], names=[id_col, "n_tokens"])
+                        continue
+                    at = np.concatenate([[0], np.cumsum(n)])
+                    for a in range(0, len(n), together):
+                        b = min(len(n), a + together)
+                        lists = pa.ListArray.from_arrays(pa.array((at[a : b + 1] - at[a]).astype(np.int32)), pa.array(out[at[a] : at[b]]))
+                        yield pa.RecordBatch.from_arrays([ids.values.slice(a, b - a), lists], names=[id_col, "ids"])
 
     out = f"`{id_col}` {id_type}, " + ("n_tokens int" if counts_only else "ids array<int>")
-    return joined.mapInArrow(run, out)
+    return rows.mapInArrow(run, out)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
