@@ -89,22 +89,23 @@ def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, s
     threads, _ = append("threads", archive.threads, new, keys)
     of_snapshot = threads.join(listed.select(*keys, "board_dir"), keys).select("thread_id", "board_dir", F.col("board_thread_id").alias("thread_no"))
 
-    # posts
-    read, bad_threads = snapshot.read_posts(spark, root)
-    read = stage(read.join(of_snapshot, ["board_dir", "thread_no"]), "posts-read")
-    rows = read.select(
-        "thread_id", F.col("no").alias("board_post_id"), F.timestamp_seconds("time").alias("creation_time"), F.col("com").alias("body"), F.col("sub").alias("subject"), "name", "email", "embed"
-    )
-    keys = ["thread_id", "board_post_id"]
-    new = upsert.next_local_idx(upsert.missing(batch(rows, keys), archive.posts, keys), archive.posts)
-    posts, new = append("posts", archive.posts, upsert.assign_ids(new, "post_id", keys, _greatest(archive.posts, "post_id")), keys)
+    # posts: what is new is told and numbered by keys alone, then texts are joined to the numbers once
+    parsed = snapshot.parsed_posts(spark, root)
+    read, bad_threads = snapshot.posts_of(spark, parsed, root)
+    keys, of_read = ["thread_id", "board_post_id"], ["board_dir", "thread_no", "no"]
+    named = batch(read.select(*of_read), of_read).join(of_snapshot, ["board_dir", "thread_no"]).withColumn("board_post_id", F.col("no"))
+    new = upsert.next_local_idx(upsert.missing(named, archive.posts, keys), archive.posts)
+    new = upsert.assign_ids(new, "post_id", keys, _greatest(archive.posts, "post_id"))
+    texts = read.select(*of_read, F.timestamp_seconds("time").alias("creation_time"), F.col("com").alias("body"), F.col("sub").alias("subject"), "name", "email", "embed")
+    posts, new = append("posts", archive.posts, batch(texts, of_read).join(new, of_read), keys)
 
     if index and added["posts"]:
         search.build_index(new.withColumn("creation_time", utc("creation_time")), index, config, mode="overwrite")
 
     # attachments: known by post and name; only files that exist
     ids = posts.join(of_snapshot.select("thread_id"), "thread_id", "left_semi").select("post_id", "thread_id", F.col("board_post_id").alias("no"))
-    listed_files = stage(snapshot.files_of(read), "files-listed")
+    in_threads = read.select("board_dir", "thread_no", "no", "time", "board", "files", "tim", "ext", "filename", "fsize", "spoiler", "w", "h").join(of_snapshot.select("board_dir", "thread_no"), ["board_dir", "thread_no"], "left_semi")
+    listed_files = stage(snapshot.files_of(in_threads), "files-listed")
     files = stage(listed_files.join(of_snapshot, ["board_dir", "thread_no"]).join(ids, ["thread_id", "no"]), "files-read")
     if (lost := listed_files.count() - files.count()) > 0:
         raise LookupError(f"{lost} files belong to posts that the archive does not have")

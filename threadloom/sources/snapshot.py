@@ -1,13 +1,15 @@
 """Snapshots: directories of JSON catalogs, threads and media files.
 
 Layout: <root>/<board>/catalog.json, <root>/<board>/res/<number>.json, media under <root>. All files of a
-kind are read by one scan. A file is taken as a whole or not at all: one that is not JSON, has a value of
+kind are read by one scan, thread files some hundred a task. A file is taken as a whole or not at all: one that is not JSON, has a value of
 the wrong type or lacks a required field in any element gives no rows, and a row in `rejected`.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -15,10 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from threadloom.common import stage
 from threadloom.functions import media
 
 #: Directories that hold no board.
 NO_BOARDS = ("sfw", "alt", "overboard")
+#: What opening a file counts as, in bytes, where files are many and small. Spark's own 4 MB make a task of every few files.
+FILE_COST = 64 * 1024
 
 FILE = "id string, mime string, ext string, h int, w int, fsize int, filename string, spoiler boolean, md5 string, file_path string, thumb_path string"
 POST = (
@@ -67,8 +72,20 @@ class Settings:
         return cls(**{f: given[f] for f in cls.__dataclass_fields__})
 
 
-def _json(spark: SparkSession, schema: str, path: str) -> DataFrame:
-    reader = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad")
+@contextmanager
+def _small_files(spark: SparkSession) -> Iterator[None]:
+    """Scans that run inside take hundreds of small files a task."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(FILE_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _json(spark: SparkSession, schema: str, path: str, names: str = "*") -> DataFrame:
+    reader = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", names)
     try:
         df = reader.json(path)
     except AnalysisException:  # no such file in the whole snapshot
@@ -124,14 +141,39 @@ def boards_of(spark: SparkSession, root: str) -> DataFrame:
     return df.where(~F.col("board_dir").isin(*NO_BOARDS)).distinct()
 
 
-def read_posts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(posts: board_dir, thread_no and the fields of a post; rejected: path)."""
-    df = _json(spark, THREAD_SCHEMA, f"{root}/*/res/*.json")
+def parsed_posts(spark: SparkSession, root: str) -> DataFrame:
+    """Every thread file read once, staged: path, board_dir, thread_no, _ok (is it good?) and the fields of a post; a file that is bad or gives no post is one row without a post.
+
+    The folders are listed, not the files one by one, and the result is written, so later steps read neither the names nor the JSON again.
+    """
+    df = _json(spark, THREAD_SCHEMA, f"{root}/*/res", "*.json")
     df = df.withColumn("board_dir", _board_of(r"([^/]+)/res/[^/]+\.json$")).withColumn("thread_no", F.regexp_extract("path", r"/res/(\d+)\.json$", 1).try_cast("bigint"))
-    good, bad = _split(df, F.col("_bad").isNull() & _complete(F.col("posts")))
+    df = df.withColumn("_ok", F.col("_bad").isNull() & _complete(F.col("posts")))
+    df = df.select("path", "board_dir", "thread_no", "_ok", F.inline_outer(F.when(F.col("_ok"), F.col("posts"))))
+    with _small_files(spark):
+        return stage(df, "threads-parsed")
+
+
+def posts_of(spark: SparkSession, parsed: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """(posts: board_dir, thread_no and the fields of a post; rejected: path) of parsed_posts()."""
+    bad = parsed.where("not _ok").select("path").distinct()
+    good = parsed.where("_ok and no is not null")
+    # only a file whose text is a list of threads has good rows beside bad ones
+    if not (mixed := good.select("path").join(bad, "path", "left_semi")).isEmpty():
+        good = good.join(mixed.distinct(), "path", "left_anti")
     # a file whose text is an empty list gives the reader no row at all
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{root}/*/res").select("path") if bad.columns and not df.isEmpty() else df.select("path")
-    return good.select("board_dir", "thread_no", F.inline("posts")), bad.unionByName(listed.join(df.select("path"), "path", "left_anti"))
+    try:
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{root}/*/res").select(F.col("_metadata.file_path").alias("path"))
+    except AnalysisException:  # no such folder in the whole snapshot
+        listed = parsed.select("path").limit(0)
+    with _small_files(spark):
+        empty = stage(listed.join(parsed.select("path"), "path", "left_anti"), "threads-empty")
+    return good.drop("path", "_ok"), bad.unionByName(empty)
+
+
+def read_posts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(posts: board_dir, thread_no and the fields of a post; rejected: path)."""
+    return posts_of(spark, parsed_posts(spark, root), root)
 
 
 def files_of(posts: DataFrame) -> DataFrame:
