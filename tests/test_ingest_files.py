@@ -35,3 +35,16 @@ def test_a_bad_thread_in_a_list_rejects_its_whole_file(spark, tmp_path):
     tree(tmp_path, {1: '[{"posts": [{"no": 1, "time": 1, "last_modified": 1, "board": "b", "resto": 0}]}, {"posts": [{"no": 2}]}]', 3: [head(3)]})
     posts, bad = snapshot.read_posts(spark, str(tmp_path))
     assert [r.no for r in posts.collect()] == [3] and bad.count() == 1
+
+
+def test_media_of_any_name_are_found_by_their_path(spark, tmp_path):
+    root, names = tmp_path / "snap", ["_a", "b+c", "d%41", "e f", "g"]
+    outside = media("out", file_path="/../out.png")
+    tree(root, {1: [head(1, files=[media(n) for n in names] + [media("log", ext="json", file_path="/b/src/log.json"), media("not there"), media("src", file_path="/b/src"), outside])]})
+    for n in names:
+        (root / "b" / "src" / f"{n}.png").write_text(n)
+    (root / "b" / "src" / "log.json").write_text("{}")
+    (tmp_path / "out.png").write_text("x")
+    (root / "b" / "src" / "named by no post.png").write_text("x")
+    done, report = ing.ingest(spark, snapshot.Settings(str(root), "m", "s", "u"), Archive.empty(spark))
+    assert sorted(r.board_filename for r in done.attachments.collect()) == sorted([*names, "log"]) and report.added["attachments"] == 6

@@ -111,11 +111,7 @@ def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, s
         raise LookupError(f"{lost} files belong to posts that the archive does not have")
     keys = ["post_id", "board_filename"]
     new = upsert.missing(batch(files, keys), archive.attachments, keys)
-    if not new.isEmpty():
-        there = snapshot.media_files(spark, root, content=True)
-        new = new.join(there.select("file_path", "sha256_hash"), "file_path")
-    else:
-        new = new.withColumn("sha256_hash", F.lit(None).cast("string"))
+    new = stage(snapshot.with_hashes(new, root), "files-hashed")  # numbering looks at its rows twice
     hashed = phash(F.concat(F.lit(root), "file_path")) if phash else F.lit(None).cast("bigint")
     value = F.when(F.col("mimetype").isin(*media.HASHED_MIME), media.zigzag_decode(hashed))
     new = new.withColumn("phash", F.when(value != 0, value)).withColumn("illegal", F.lit(False)).withColumn("creation_time", F.timestamp_seconds("time"))

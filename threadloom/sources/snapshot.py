@@ -1,20 +1,24 @@
 """Snapshots: directories of JSON catalogs, threads and media files.
 
 Layout: <root>/<board>/catalog.json, <root>/<board>/res/<number>.json, media under <root>. All files of a
-kind are read by one scan, thread files some hundred a task. A file is taken as a whole or not at all: one that is not JSON, has a value of
+kind are read by one scan, thread files some hundred a task; media are opened by the paths that posts give. A file is taken as a whole or not at all: one that is not JSON, has a value of
 the wrong type or lacks a required field in any element gives no rows, and a row in `rejected`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from threadloom.common import stage
@@ -203,9 +207,35 @@ def _resolution(w: Column, h: Column) -> Column:
     return F.when(w.isNotNull() & h.isNotNull(), F.struct(w.alias("width"), h.alias("height"))).alias("resolution")
 
 
-def media_files(spark: SparkSession, root: str, glob: str = "*", content: bool = False) -> DataFrame:
-    """(file_path below the root, length[, sha256_hash]) of the files that exist; contents are read only for the hash."""
-    columns = [F.regexp_extract(F.url_decode(F.col("path")), f"^(?:file:)?/*{root.strip('/')}(/.*)$", 1).alias("file_path"), "length"]
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    df = df.where(~F.col("path").endswith(".json"))
-    return df.select(*columns, *([F.sha2("content", 256).alias("sha256_hash")] if content else []))
+def _below(path: str | None) -> bool:
+    """Does a path stay below the root it is appended to?"""
+    return bool(path) and path[0] == "/" and not {"", ".", ".."} & set(path[1:].split("/"))
+
+
+def with_hashes(files: DataFrame, root: str) -> DataFrame:
+    """The rows whose file (file_path, below the root) exists, with sha256_hash of its contents.
+
+    Executors open the named files and no other, so neither a list of the snapshot's media is made nor a file read
+    that no row needs. The root is a folder that all executors mount, or a URI that Arrow can open.
+    """
+    base = "/" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, top = pafs.FileSystem.from_uri(base) if "://" in base else (None, base)
+
+        def digest(path: str | None) -> str | None:
+            if not _below(path):
+                return None
+            try:
+                with open(top + path, "rb") if where is None else where.open_input_file(top + path) as f:
+                    return hashlib.file_digest(f, "sha256").hexdigest()
+            except (FileNotFoundError, IsADirectoryError, NotADirectoryError):
+                return None
+
+        for batch in batches:
+            hashes = pa.array([digest(p) for p in batch.column("file_path").to_pylist()], pa.string())
+            yield batch.append_column("sha256_hash", hashes).filter(hashes.is_valid())
+
+    # an explicit number, so that small rows whose files are long to read are not put into few tasks
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(parts, "file_path").mapInArrow(run, T.StructType([*files.schema.fields, T.StructField("sha256_hash", T.StringType())]))
