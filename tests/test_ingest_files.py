@@ -48,3 +48,17 @@ def test_media_of_any_name_are_found_by_their_path(spark, tmp_path):
     (root / "b" / "src" / "named by no post.png").write_text("x")
     done, report = ing.ingest(spark, snapshot.Settings(str(root), "m", "s", "u"), Archive.empty(spark))
     assert sorted(r.board_filename for r in done.attachments.collect()) == sorted([*names, "log"]) and report.added["attachments"] == 6
+
+
+def test_known_posts_are_not_moved_again(spark, tmp_path):
+    """The second of two ingests numbers nothing and scans by few tasks; of a key that comes twice one row is taken, with its own text."""
+    settings = snapshot.Settings(str(tmp_path), "m", "s", "u")
+    tree(tmp_path, {no: [head(no, com=f"text {no}"), head(no, com=f"text {no}")] for no in range(1, 401)})
+    first, report = ing.ingest(spark, settings, Archive.empty(spark), strict=False)
+    most, (again, second) = tasks(spark, lambda: ing.ingest(spark, settings, first, strict=False))
+    assert most <= 8 and report.added["posts"] == 400 and set(second.added.values()) == {0}
+    assert {(r.board_post_id, r.body, r.local_idx) for r in again.posts.collect()} == {(no, f"text {no}", 1) for no in range(1, 401)}
+    # then a snapshot with more
+    tree(tmp_path, {7: [head(7), head(3, com="late")]})
+    third, report = ing.ingest(spark, settings, again, strict=False)
+    assert report.added["posts"] == 1 and [(r.body, r.local_idx) for r in third.posts.where("board_post_id = 3 and local_idx = 2").collect()] == [("late", 2)]

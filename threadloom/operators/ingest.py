@@ -97,7 +97,9 @@ def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, s
     new = upsert.next_local_idx(upsert.missing(named, archive.posts, keys), archive.posts)
     new = upsert.assign_ids(new, "post_id", keys, _greatest(archive.posts, "post_id"))
     texts = read.select(*of_read, F.timestamp_seconds("time").alias("creation_time"), F.col("com").alias("body"), F.col("sub").alias("subject"), "name", "email", "embed")
-    posts, new = append("posts", archive.posts, batch(texts, of_read).join(new, of_read), keys)
+    # texts are not moved where all posts are known
+    new = new.limit(0).withColumns({"creation_time": F.lit(None).cast("timestamp")}) if new.isEmpty() else batch(texts, of_read).join(new, of_read)
+    posts, new = append("posts", archive.posts, new, keys)
 
     if index and added["posts"]:
         search.build_index(new.withColumn("creation_time", utc("creation_time")), index, config, mode="overwrite")
