@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.common import stage, utc
+from threadloom.common import stage, unstage, utc
 from threadloom.functions import media
 from threadloom.operators import search, upsert
 from threadloom.sources import snapshot
@@ -113,7 +113,7 @@ def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, s
         raise LookupError(f"{lost} files belong to posts that the archive does not have")
     keys = ["post_id", "board_filename"]
     new = upsert.missing(batch(files, keys), archive.attachments, keys)
-    new = stage(snapshot.with_hashes(new, root), "files-hashed")  # numbering looks at its rows twice
+    new = hashed_files = stage(snapshot.with_hashes(new, root), "files-hashed")  # numbering looks at its rows twice
     hashed = phash(F.concat(F.lit(root), "file_path")) if phash else F.lit(None).cast("bigint")
     value = F.when(F.col("mimetype").isin(*media.HASHED_MIME), media.zigzag_decode(hashed))
     new = new.withColumn("phash", F.when(value != 0, value)).withColumn("illegal", F.lit(False)).withColumn("creation_time", F.timestamp_seconds("time"))
@@ -123,6 +123,7 @@ def ingest(spark: SparkSession, settings: snapshot.Settings, archive: Archive, s
         copy_files(files, settings)
     sums = ids.agg(F.sum("post_id").alias("a"), F.sum("no").alias("b")).first()
     rejected = stage(bad_catalogs.unionByName(bad_threads), "rejected")
+    unstage(parsed, listed_files, files, hashed_files)
     return Archive(sites, boards, threads, posts, attachments), Report(added, rejected, rejected.count(), sums["a"] or 0, sums["b"] or 0)
 
 
